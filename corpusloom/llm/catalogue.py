@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import canonical, splitting, tokenizer
+from corpusloom.llm import canonical, neighbours, packing, splitting, tokenizer
 from corpusloom.sources.tables import table
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of similar vectors of graph_rows, and apart from these of entities."""
+    found = [
+        neighbours.similar_pairs(table(spark, folder, kind), key, "embedding").select(F.lit(kind).alias("kind"), "id_a", "id_b")
+        for kind, key in (("graph_rows", "idx"), ("entities", "entity_id"))
+    ]
+    return found[0].unionByName(found[1])
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Request and chunk of every oversized text, and whether it holds an overlong run."""
     chunks = table(spark, folder, "chunks").select("chunk_idx", "dataset_key", "modality", "text")
@@ -30,6 +39,17 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
+def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of each document, or of each part of an oversized one, for every capacity."""
+    counted = tokenizer.token_counts(table(spark, folder, "documents").select("doc_id", "text"))
+    boxes = table(spark, folder, "context_sizes").select(F.col("size_name").alias("box"), F.col("capacity_tokens").alias("capacity"))
+    packed = packing.pack(counted.select(F.col("doc_id").alias("item"), F.col("n_tokens").alias("size")), boxes)
+    return packed.select(
+        F.col("box").alias("size_name"), F.col("container").alias("container_id"), F.col("item").alias("doc_id"), "piece",
+        F.col("start").alias("first_token"), F.col("size").alias("n_tokens"),
+    )
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of documents with different texts that look the same."""
     return canonical.same_look_pairs(table(spark, folder, "documents"))
@@ -40,11 +60,29 @@ def p8_canonical(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.with_canonical(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "canonical")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_pieces, p6_ids, p8_found, p8_canonical)}
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_pieces, p6_ids, p7_pack, p8_found, p8_canonical)}
 
 _LONG = "greatest(coalesce(target_chars, 900), 1)"
 
+
+
+def _similar_sql(name: str, key: str) -> str:
+    """Brute force over all pairs of one table."""
+    return f"""
+        SELECT DISTINCT '{name}' AS kind, least(a, b) AS id_a, greatest(a, b) AS id_b FROM (
+            SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS place FROM (
+                SELECT x.{key} AS a, y.{key} AS b, round(list_cosine_similarity(x.v, y.v), 9) AS s
+                FROM (SELECT {key}, embedding::DOUBLE[] AS v FROM {name} WHERE {_USABLE}) x
+                JOIN (SELECT {key}, embedding::DOUBLE[] AS v FROM {name} WHERE {_USABLE}) y ON x.{key} <> y.{key}
+            ) WHERE s >= 0.9
+        ) WHERE place <= 5
+    """
+
+
+_USABLE = "embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))"
+
 ORACLES = {
+    "p3_found": _similar_sql("graph_rows", "idx") + " UNION ALL " + _similar_sql("entities", "entity_id"),
     "p5_found": f"""
         SELECT DISTINCT request_id, chunk_idx,
                CASE WHEN list_max(list_transform(regexp_split_to_array(text, '\\s+'), lambda w: length(w))) > {_LONG}
