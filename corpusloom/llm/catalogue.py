@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import canonical, neighbours, packing, splitting, tokenizer
+from corpusloom.llm import canonical, furniture, neighbours, packing, splitting, tokenizer
 from corpusloom.sources.tables import table
 
 
+def _site_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The text chunks of web sites."""
+    return table(spark, folder, "chunks").where("modality = 'text' AND source LIKE '%.example'").select("chunk_idx", "source", "text")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each line of a site's chunks that belongs to the site."""
+    return furniture.repeated_lines(_site_chunks(spark, folder), "chunk_idx", "source", "text")
+
+
+def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The text chunks of web sites without the lines of the site."""
+    chunks = _site_chunks(spark, folder)
+    lines = furniture.repeated_lines(chunks, "chunk_idx", "source", "text")
+    return furniture.without_lines(chunks, lines, "chunk_idx", "text")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of similar vectors of graph_rows, and apart from these of entities."""
     found = [
@@ -60,7 +77,7 @@ def p8_canonical(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.with_canonical(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "canonical")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_pieces, p6_ids, p7_pack, p8_found, p8_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p3_found, p5_found, p5_pieces, p6_ids, p7_pack, p8_found, p8_canonical)}
 
 _LONG = "greatest(coalesce(target_chars, 900), 1)"
 
