@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import canonical, furniture, neighbours, packing, splitting, tokenizer
+from corpusloom.llm import canonical, furniture, neighbours, packing, splitting, tokenizer, variants
 from corpusloom.sources.tables import table
 
 
@@ -26,6 +26,16 @@ def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
     return furniture.without_lines(chunks, lines, "chunk_idx", "text")
 
 
+def p2_resolved(spark: SparkSession, folder: str) -> DataFrame:
+    """The thing that each row of entities stands for."""
+    return variants.resolve(table(spark, folder, "entities"), table(spark, folder, "given_names"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs of rows of entities for the same real thing."""
+    return variants.same_pairs(p2_resolved(spark, folder))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of similar vectors of graph_rows, and apart from these of entities."""
     found = [
@@ -77,7 +87,7 @@ def p8_canonical(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.with_canonical(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "canonical")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p3_found, p5_found, p5_pieces, p6_ids, p7_pack, p8_found, p8_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_resolved, p3_found, p5_found, p5_pieces, p6_ids, p7_pack, p8_found, p8_canonical)}
 
 _LONG = "greatest(coalesce(target_chars, 900), 1)"
 
