@@ -23,9 +23,9 @@ from corpusloom.session import cut
 #: Vectors at most on which the trees are fitted; all vectors are indexed.
 SAMPLE = 20_000
 #: Vectors that a leaf is meant to hold, and the fewest of the sample in one.
-LEAF, LEAF_SAMPLE = 512, 24
+LEAF, LEAF_SAMPLE = 2048, 24
 #: Trees, and leaves that one search visits over all trees together.
-TREES, VISITS = 3, 8
+TREES, VISITS = 3, 5
 #: Vectors of one leaf that one task compares at a time.
 BLOCK = 4096
 #: Digits to which similarities are told apart.
@@ -155,12 +155,12 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, least: float = -1.
     empty table gives no rows.
     """
     spark = df.sparkSession
-    points = cut(unit_vectors(df, key, vector))
-    sizes = points.groupBy("size").count().orderBy(F.desc("count"), "size").limit(1).collect()
+    usable = F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
+    sizes = df.where(usable).groupBy(F.size(vector).alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], "id long, other long, similarity double")
     dim, total = sizes[0]["size"], sizes[0]["count"]
-    points = points.where(F.col("size") == dim)
+    points = unit_vectors(df, key, vector).where(F.col("size") == dim)
     by_id = Window.partitionBy("look").orderBy("id")
     some = points.withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= k + 1)
     heads = cut(some.groupBy("look").agg(F.min("id").alias("head"), F.sort_array(F.collect_list("id")).alias("ids"), F.min_by("vec", "id").alias("vec")))
