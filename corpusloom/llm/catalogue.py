@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import canonical, furniture, neighbours, packing, splitting, tokenizer, variants
+from corpusloom.llm import canonical, furniture, neighbours, packing, scans, splitting, tokenizer, variants
 from corpusloom.sources.tables import table
 
 
@@ -45,6 +45,21 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def _paper_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The text chunks of PDF files, scanned or not."""
+    return table(spark, folder, "chunks").where("modality = 'text' AND source LIKE '%.pdf'").select("chunk_idx", "source", "page", "text")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Furniture, broken and misread words of scanned pages."""
+    return scans.noise(_paper_pages(spark, folder), table(spark, folder, "wordlist"))
+
+
+def p4_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page of a PDF file, those of scanned files as continuous paragraphs."""
+    return scans.read_pages(_paper_pages(spark, folder), table(spark, folder, "wordlist")).select("chunk_idx", "scanned", "repaired")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Request and chunk of every oversized text, and whether it holds an overlong run."""
     chunks = table(spark, folder, "chunks").select("chunk_idx", "dataset_key", "modality", "text")
@@ -87,7 +102,7 @@ def p8_canonical(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.with_canonical(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "canonical")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_resolved, p3_found, p5_found, p5_pieces, p6_ids, p7_pack, p8_found, p8_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_resolved, p3_found, p4_found, p4_repaired, p5_found, p5_pieces, p6_ids, p7_pack, p8_found, p8_canonical)}
 
 _LONG = "greatest(coalesce(target_chars, 900), 1)"
 
