@@ -123,8 +123,9 @@ def linked_cores(cores: DataFrame) -> DataFrame:
                 row, cell = np.nonzero(d <= d.min(1, keepdims=True) + 2 * RADIUS)
                 yield pd.DataFrame({"kind": kind, "cell": cell, "home": home[row] == cell, "core": rows["core"].to_numpy()[row], "names": rows["names"].to_numpy()[row]})
 
-    cells = cores.select("kind", "core", "names").mapInPandas(place, schema)
-    return cells.groupBy("kind", "cell").applyInPandas(_joined_cell, "core string, like string, kind string").distinct()
+    tasks = 3 * cores.sparkSession.sparkContext.defaultParallelism  # few bytes, much work
+    cells = cores.select("kind", "core", "names").repartition(tasks, "kind", "core").mapInPandas(place, schema)
+    return cells.repartition(tasks, "kind", "cell").groupBy("kind", "cell").applyInPandas(_joined_cell, "core string, like string, kind string").distinct()
 
 
 def _person(words: list[str], full: dict[str, set[str]]) -> tuple[str, list[str]]:
@@ -254,7 +255,9 @@ def resolve(df: DataFrame, given_names: DataFrame, key: str = "entity_id", name:
     def number(group: pd.DataFrame) -> pd.DataFrame:
         return group[["kind", "family", "details"]].assign(number=_things(group, full))
 
-    numbered = distinct_readings.groupBy("kind", "family").applyInPandas(number, "kind string, family string, details array<string>, number int")
+    tasks = 3 * df.sparkSession.sparkContext.defaultParallelism
+    by_family = distinct_readings.repartition(tasks, "kind", "family").groupBy("kind", "family")
+    numbered = cut(by_family.applyInPandas(number, "kind string, family string, details array<string>, number int"))
     known = member.join(numbered, ["kind", "family", "details"]).select("kind", "name", "family", "number")
     named = shared.join(known, ["kind", "name"], "left")
     things = named.where("family IS NOT NULL").groupBy("kind", "family", "number").agg(F.min("id").alias("thing"))
