@@ -2,5 +2,455 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.functions import plugins
+from corpusloom.functions.vectors import usable
+from corpusloom.operators import chunking, extraction, graph, kg_retrieval, prompts, retrieval
+from corpusloom.plans import engine, oracles
+from corpusloom.session import cut
+from corpusloom.sources import cache
+from corpusloom.sources.tables import table
+from corpusloom.streaming import incremental
+
+QUERY, KEYWORDS, SYNONYMS = oracles.QUERY, oracles.KEYWORDS, oracles.SYNONYMS
 QUERIES: dict = {}
-ORACLES: dict = {}
+
+
+def query(f):
+    """Registers a query under its own name."""
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def _asked(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(0, QUERY)], "query_id int, query string")
+
+
+def _batch(spark: SparkSession, folder: str) -> DataFrame:
+    """The stated set of queries: every document of that kind whose id is divisible by 20."""
+    asked = table(spark, folder, "documents").where("doc_kind = 'query' AND doc_id % 20 = 0 AND text IS NOT NULL")
+    return asked.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "graph_rows").select(F.col("idx").alias("chunk_idx"), "embedding")
+
+
+def _example(spark: SparkSession, folder: str) -> DataFrame:
+    """One row (query_id, vector): the first vector of the graph rows, asked by example."""
+    sound = _vectors(spark, folder).where(usable(F.col("embedding")))
+    return sound.agg(F.min_by("embedding", "chunk_idx").alias("vector")).select(F.lit(0).alias("query_id"), "vector")
+
+
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.effective_text(table(spark, folder, "chunks"))
+
+
+def _terms(spark: SparkSession) -> DataFrame:
+    return retrieval.query_terms(_asked(spark))
+
+
+def _scores(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.hybrid_scores(table(spark, folder, "chunks"), _vectors(spark, folder), _example(spark, folder), _terms(spark))
+
+
+def _hits(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.search(table(spark, folder, "chunks"), _vectors(spark, folder), _example(spark, folder), _terms(spark))
+
+
+def _relations(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored edges."""
+    return graph.upsert_relations(table(spark, folder, "relations"), table(spark, folder, "entities"))
+
+
+def _edges(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.edge_list(_relations(spark, folder))
+
+
+def _links(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.link_mentions(table(spark, folder, "mentions"), table(spark, folder, "chunks"), table(spark, folder, "entities"))
+
+
+def _seeds(spark: SparkSession, folder: str) -> DataFrame:
+    """The stated set of seeds: every entity whose id is divisible by 20."""
+    return table(spark, folder, "entities").where("entity_id % 20 = 0").select(F.col("entity_id").alias("seed"), "canonical_form", "entity_type")
+
+
+# chunking
+
+
+@query
+def sentences(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.sentences(table(spark, folder, "chunks"))
+
+
+@query
+def chunk_size(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.size_chunks(table(spark, folder, "chunks"))
+
+
+@query
+def chunk_size_no_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.size_chunks(table(spark, folder, "chunks"), overlap=0)
+
+
+@query
+def chunk_section(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.section_chunks(table(spark, folder, "chunks"))
+
+
+@query
+def chunk_section_tags(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.section_chunks(table(spark, folder, "chunks"), keywords=KEYWORDS)
+
+
+@query
+def chunk_semantic(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.chunk(table(spark, folder, "chunks"), "docling_semantic", plugins.hash_encoder)
+
+
+# lexical, vector and hybrid search
+
+
+@query
+def modality_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.modality_counts(table(spark, folder, "chunks"))
+
+
+@query
+def effective_text(spark: SparkSession, folder: str) -> DataFrame:
+    return _texts(spark, folder)
+
+
+@query
+def term_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.term_counts(_texts(spark, folder))
+
+
+@query
+def doc_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.doc_lengths(_texts(spark, folder))
+
+
+@query
+def idf(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(retrieval.inverse_frequencies(_texts(spark, folder)), "idf")
+
+
+@query
+def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(retrieval.top(retrieval.bm25(_texts(spark, folder), _terms(spark)), "bm25"), "bm25")
+
+
+@query
+def bm25_batch(spark: SparkSession, folder: str) -> DataFrame:
+    scores = retrieval.bm25(_texts(spark, folder), retrieval.query_terms(_batch(spark, folder)))
+    return _rounded(retrieval.top(scores.withColumn("bm25", F.round("bm25", 9)), "bm25"), "bm25")
+
+
+@query
+def query_expansion(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.expanded_terms(_batch(spark, folder), spark.createDataFrame(SYNONYMS, "term string, lemma string"))
+
+
+@query
+def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten vectors most similar to the example; those without a direction have similarity 0."""
+    near = _vectors(spark, folder).crossJoin(F.broadcast(_example(spark, folder)))  # one row
+    near = near.select("query_id", "chunk_idx", F.round(retrieval.cosine(F.col("embedding"), F.col("vector")), 9).alias("sem"))
+    return _rounded(retrieval.top(near, "sem", 10).drop("query_id"), "sem")
+
+
+@query
+def vector_batch(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _vectors(spark, folder)
+    asked = vectors.where("chunk_idx % 20 = 0").select(F.col("chunk_idx").alias("query_id"), F.col("embedding").alias("vector"))
+    return _rounded(retrieval.nearest(vectors, asked), "sem")
+
+
+@query
+def hash_embedding(spark: SparkSession, folder: str) -> DataFrame:
+    coded = table(spark, folder, "chunks").where("text IS NOT NULL").select("chunk_idx", plugins.hash_encoder(F.array("text"))[0].alias("embedding"))
+    return coded.withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 6)))
+
+
+@query
+def minmax_fusion(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(_scores(spark, folder), "sem", "bm25", "score")
+
+
+@query
+def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(_hits(spark, folder).select("rank", "chunk_idx", "score", "sem", "bm25"), "sem", "bm25", "score")
+
+
+@query
+def search_response(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(engine.response(_hits(spark, folder), "figures"), "sem", "bm25", "score")
+
+
+@query
+def search_preview(spark: SparkSession, folder: str) -> DataFrame:
+    return _hits(spark, folder).select("chunk_idx", prompts.preview(F.col("text")).alias("preview"))
+
+
+@query
+def graph_row_projection(spark: SparkSession, folder: str) -> DataFrame:
+    rows = cache.graph_rows(table(spark, folder, "chunks"), _vectors(spark, folder))
+    return rows.withColumn("dim", F.when(F.col("embedding").isNotNull(), F.size("embedding"))).drop("embedding")
+
+
+# extraction and resolution
+
+
+@query
+def ner_mentions(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.recognise(table(spark, folder, "chunks"))
+
+
+@query
+def canonicalize(spark: SparkSession, folder: str) -> DataFrame:
+    mentions = table(spark, folder, "mentions").select("name", "entity_type").distinct()
+    return mentions.withColumn("canonical", extraction.canonical_name(F.col("name"), F.col("entity_type")))
+
+
+@query
+def llm_parse_entities(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.reply_entities(table(spark, folder, "documents").where("doc_kind = 'llm_reply'"))
+
+
+@query
+def llm_parse_relations(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.reply_relations(table(spark, folder, "documents").where("doc_kind = 'llm_reply'"))
+
+
+@query
+def confident_mentions(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.confident(table(spark, folder, "mentions"), 0.7, ["Person", "Organization"]).select("chunk_idx", "name", "entity_type", "confidence")
+
+
+@query
+def merge_entities(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.merge_mentions(table(spark, folder, "mentions"))
+
+
+@query
+def resolve_entities(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.resolve_entities(table(spark, folder, "entities"))
+
+
+@query
+def resolve_mentions(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.resolve_mentions(table(spark, folder, "mentions"))
+
+
+@query
+def importance(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "entities").select("entity_id", extraction.importance(F.col("occurrences")).alias("importance"))
+
+
+@query
+def repoint_relations(spark: SparkSession, folder: str) -> DataFrame:
+    resolved = extraction.resolve_entities(table(spark, folder, "entities"))
+    return extraction.repoint_relations(table(spark, folder, "relations"), resolved)
+
+
+@query
+def distinct_relations(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.distinct_relations(table(spark, folder, "relations"))
+
+
+@query
+def incremental_resolve(spark: SparkSession, folder: str) -> DataFrame:
+    """Mentions of the recogniser first, then those of the model merged into them."""
+    mentions = table(spark, folder, "mentions")
+    first, second = (incremental.batch_entities(mentions.where(f"extraction_method {sign} 'llm'")) for sign in ("<>", "="))
+    return incremental.merge_entities(first, second)
+
+
+# the graph
+
+
+@query
+def upsert_entities(spark: SparkSession, folder: str) -> DataFrame:
+    store = table(spark, folder, "entities").select("canonical_form", "entity_type", "name", "confidence", "occurrences")
+    return graph.upsert(store, graph.incoming_entities(table(spark, folder, "mentions")), ["canonical_form", "entity_type"], ["occurrences"])
+
+
+@query
+def upsert_relations(spark: SparkSession, folder: str) -> DataFrame:
+    return _relations(spark, folder)
+
+
+@query
+def link_mentions(spark: SparkSession, folder: str) -> DataFrame:
+    return _links(spark, folder)
+
+
+@query
+def link_mentions_page(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.link_mentions(table(spark, folder, "mentions"), table(spark, folder, "chunks"), table(spark, folder, "entities"), page_fanout=True)
+
+
+@query
+def graph_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.statistics(table(spark, folder, "entities"), _relations(spark, folder), table(spark, folder, "chunks"))
+
+
+@query
+def type_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.type_histogram(table(spark, folder, "entities"))
+
+
+@query
+def is_triples(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.is_triples(table(spark, folder, "chunks"), "chunk_idx")
+
+
+@query
+def successors(spark: SparkSession, folder: str) -> DataFrame:
+    triples = table(spark, folder, "relations").select(F.col("subj_canonical").alias("subj"), F.col("predicate").alias("pred"), F.col("obj_canonical").alias("obj"))
+    return graph.successors(triples)
+
+
+@query
+def khop_neighbors(spark: SparkSession, folder: str) -> DataFrame:
+    near = graph.neighbours(_seeds(spark, folder), _edges(spark, folder), table(spark, folder, "entities"), hops=2)
+    return near.select("seed", "canonical_form", "entity_type", "distance", "rank")
+
+
+@query
+def related_entities(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.related(_seeds(spark, folder), _edges(spark, folder), table(spark, folder, "entities"), 2, 0.3)
+
+
+@query
+def shortest_path(spark: SparkSession, folder: str) -> DataFrame:
+    """Ways from each seed to the next one."""
+    seeds = cut(_seeds(spark, folder))
+    place = F.row_number().over(graph.Window.orderBy("seed"))  # the stated seeds only
+    numbered = seeds.withColumn("n", place)
+    to = numbered.select((F.col("n") - 1).alias("n"), F.col("canonical_form").alias("to_form"), F.col("entity_type").alias("to_type"))
+    pairs = numbered.join(to, "n").select(F.col("seed").alias("pair"), F.col("canonical_form").alias("from_form"), F.col("entity_type").alias("from_type"), "to_form", "to_type")
+    return graph.shortest_paths(pairs, cut(_edges(spark, folder)))
+
+
+@query
+def subgraph(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.subgraph(_seeds(spark, folder), _relations(spark, folder))
+
+
+@query
+def subgraph_inner(spark: SparkSession, folder: str) -> DataFrame:
+    chosen = table(spark, folder, "entities").where("entity_type IN ('Person', 'Organization')")
+    return graph.subgraph(chosen, _relations(spark, folder), neighbours_too=False)
+
+
+@query
+def entity_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.entity_chunks(_links(spark, folder))
+
+
+# search with the graph
+
+
+def _linked(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Scores, links, edges and entities, each computed once for a search that uses them several times."""
+    return cut(_scores(spark, folder)), cut(_links(spark, folder)), cut(_edges(spark, folder)), table(spark, folder, "entities")
+
+
+@query
+def entity_search(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(kg_retrieval.find_entities(table(spark, folder, "entities"), _terms(spark)), "score")
+
+
+@query
+def query_entities(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(kg_retrieval.query_entities(table(spark, folder, "entities"), _terms(spark), _example(spark, folder)), "score")
+
+
+def _kg(mode: str, spark: SparkSession, folder: str) -> DataFrame:
+    scores, links, edges, entities = _linked(spark, folder)
+    asked = cut(kg_retrieval.query_entities(entities, _terms(spark), _example(spark, folder)))
+    return _rounded(kg_retrieval.search(mode, scores, links, edges, entities, asked), "sem", "bm25", "score")
+
+
+@query
+def kg_entity_aware(spark: SparkSession, folder: str) -> DataFrame:
+    return _kg("entity_aware", spark, folder)
+
+
+@query
+def kg_graph_guided(spark: SparkSession, folder: str) -> DataFrame:
+    return _kg("graph_guided", spark, folder)
+
+
+@query
+def kg_hybrid(spark: SparkSession, folder: str) -> DataFrame:
+    return _kg("hybrid", spark, folder)
+
+
+def _context(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Hits, links, the entities of the hits, and the edges around the first ten of them."""
+    hits, links = cut(_hits(spark, folder)), cut(_links(spark, folder))
+    about = cut(kg_retrieval.result_entities(hits, links, table(spark, folder, "entities")))
+    picked = about.orderBy("place", "canonical_form", "entity_type").limit(10)
+    return hits, links, about, cut(graph.subgraph(picked, _relations(spark, folder)))
+
+
+@query
+def kg_context(spark: SparkSession, folder: str) -> DataFrame:
+    return kg_retrieval.result_entities(_hits(spark, folder), _links(spark, folder), table(spark, folder, "entities"))
+
+
+# prompts
+
+
+@query
+def prompt_citation(spark: SparkSession, folder: str) -> DataFrame:
+    return prompts.citation_prompt(QUERY, _hits(spark, folder))
+
+
+@query
+def prompt_kg(spark: SparkSession, folder: str) -> DataFrame:
+    hits, links, about, around = _context(spark, folder)
+    return prompts.kg_prompt(QUERY, hits, links, about, around, graph_too=True)
+
+
+@query
+def prompt_entity(spark: SparkSession, folder: str) -> DataFrame:
+    _, links, about, around = _context(spark, folder)
+    chosen = about.orderBy("place", "canonical_form", "entity_type").limit(5)
+    chosen = chosen.withColumn("place", F.row_number().over(graph.Window.orderBy("place", "canonical_form", "entity_type")))
+    own = graph.entity_chunks(links.join(F.broadcast(chosen.select("canonical_form", "entity_type")), ["canonical_form", "entity_type"]), 3)
+    texts = own.join(table(spark, folder, "chunks").select("chunk_idx", "source", "page", "text"), "chunk_idx")
+    return prompts.entity_prompt(QUERY, chosen, texts, around)
+
+
+@query
+def kg_viz(spark: SparkSession, folder: str) -> DataFrame:
+    return prompts.drawn(_context(spark, folder)[3])
+
+
+# what is kept
+
+
+@query
+def dataset_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    return cache.table_fingerprint(table(spark, folder, "chunks"), "dataset_key", "chunk_idx", "text")
+
+
+@query
+def extraction_cache(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts that come more than once, which are read by the model once only."""
+    keyed = table(spark, folder, "chunks").where("modality = 'text' AND length(text) > 0").select("chunk_idx", F.md5("text").alias("text_md5"))
+    return keyed.groupBy("text_md5").agg(F.count("*").alias("n_chunks"), F.min("chunk_idx").alias("first_chunk")).where("n_chunks > 1")
+
+
+ORACLES = oracles.ORACLES
