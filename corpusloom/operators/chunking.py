@@ -126,7 +126,7 @@ def semantic_chunks(chunks: DataFrame, encode, target: int = TARGET_CHARS, overl
     coded = coded.withColumn("_vectors", encode(F.col("_said")))
     empty = F.array().cast("array<string>")
     before = lambda i: F.get(F.col("_vectors"), i - 1)
-    near = F.transform("_vectors", lambda v, i: F.coalesce(dot(before(i), v) >= least, F.lit(True)))
+    near = F.transform("_vectors", lambda v, i: F.coalesce(F.round(dot(before(i), v), 9) >= least, F.lit(True)))
     steps = F.zip_with("_said", near, lambda s, n: F.struct(s.alias("said"), n.alias("near")))
     start = F.struct(empty.alias("out"), F.lit("").alias("open"))
 

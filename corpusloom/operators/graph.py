@@ -40,22 +40,19 @@ def upsert_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
     return edges.select("subj_canonical", "subj_type", "predicate", "obj_canonical", "obj_type", "r.confidence", "r.chunk_idx", "r.evidence")
 
 
-def link_mentions(mentions: DataFrame, chunks: DataFrame, entities: DataFrame, page_fanout: bool = False) -> DataFrame:
+def link_mentions(mentions: DataFrame, chunks: DataFrame, entities: DataFrame, by_page: bool = False) -> DataFrame:
     """MENTIONS edges (chunk_idx, canonical_form, entity_type) with the last position and context of each.
 
-    With ``page_fanout`` an entity is linked to every chunk of the page, as the
-    original store did.
+    With ``by_page`` the edges go from (source, page) instead: the original
+    store links an entity to every chunk of the page, which is these edges and
+    the membership of chunks in pages, not expanded into pairs.
     """
     known = mentions.join(entities.select("canonical_form", "entity_type").distinct(), ["canonical_form", "entity_type"], "left_semi")
-    if page_fanout:
-        pages = chunks.select("chunk_idx", "source", "page")
-        at = known.join(pages, "chunk_idx").drop("chunk_idx")
-        known = at.join(pages, ["source", "page"])
-    else:
-        known = known.join(chunks.select("chunk_idx"), "chunk_idx", "left_semi")
+    at = ["source", "page"] if by_page else ["chunk_idx"]
+    known = known.join(chunks.select("chunk_idx", *at).distinct() if by_page else chunks.select("chunk_idx"), "chunk_idx")
     position, context = F.coalesce("char_pos", F.lit(0)).alias("char_pos"), F.coalesce("context", F.lit("")).alias("context")
     last = F.max(F.struct("extracted_at", position, context))
-    return known.groupBy("chunk_idx", "canonical_form", "entity_type").agg(last.alias("m")).select("chunk_idx", "canonical_form", "entity_type", "m.char_pos", "m.context")
+    return known.groupBy(*at, "canonical_form", "entity_type").agg(last.alias("m")).select(*at, "canonical_form", "entity_type", "m.char_pos", "m.context")
 
 
 def chunk_vertices(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

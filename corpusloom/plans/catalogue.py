@@ -295,7 +295,7 @@ def link_mentions(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def link_mentions_page(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.link_mentions(table(spark, folder, "mentions"), table(spark, folder, "chunks"), table(spark, folder, "entities"), page_fanout=True)
+    return graph.link_mentions(table(spark, folder, "mentions"), table(spark, folder, "chunks"), table(spark, folder, "entities"), by_page=True)
 
 
 @query

@@ -257,7 +257,45 @@ WHO = """
         )"""
 DRAWN = "string_agg(source || ' --[' || type || ']-> ' || target, chr(10) ORDER BY o)"
 
+SQUEEZED = f"trim(regexp_replace(name, '{BLANK}+', ' ', 'g'))"
+TITLED = f"array_to_string(list_transform(range(1, length({SQUEEZED}) + 1), lambda i: CASE WHEN i > 1 AND regexp_matches(substr({SQUEEZED}, i - 1, 1), '\\p{{L}}') THEN lower(substr({SQUEEZED}, i, 1)) ELSE upper(substr({SQUEEZED}, i, 1)) END), '')"
+REPLIES = r"""
+        replies AS (
+            SELECT doc_id, CASE WHEN f <> '' THEN f WHEN b <> '' THEN b ELSE text END AS j FROM (
+                SELECT doc_id, text, regexp_extract(text, '(?s)```(?:json)?\s*(\{.*?\})\s*```', 1) AS f, regexp_extract(text, '(?s)\{.*\}', 0) AS b FROM documents WHERE doc_kind = 'llm_reply' AND text IS NOT NULL)
+        ),
+        sound AS (SELECT doc_id, j::JSON AS j FROM replies WHERE json_valid(j)),
+        ents AS (
+            SELECT doc_id, i - 1 AS seq, coalesce(e->>'name', '') AS name, coalesce(e->>'canonical', e->>'name', '') AS canonical_form, coalesce(e->>'type', 'Concept') AS entity_type,
+                   e->>'confidence' AS said, coalesce(e->>'description', '') AS description
+            FROM (SELECT doc_id, unnest(es) AS e, generate_subscripts(es, 1) AS i FROM (SELECT doc_id, json_extract(j, '$.entities[*]') AS es FROM sound))
+        ),
+        bad AS (SELECT doc_id, min(seq) AS stop FROM ents WHERE said IS NOT NULL AND try_cast(said AS DOUBLE) IS NULL GROUP BY doc_id)"""
+
 ORACLES = {
+    "canonicalize": f"""SELECT DISTINCT name, entity_type, CASE WHEN entity_type IN ('Person', 'Organization', 'Location', 'Product', 'Event') THEN {TITLED}
+        WHEN entity_type = 'Technical_Term' THEN {SQUEEZED} ELSE lower({SQUEEZED}) END AS canonical FROM mentions""",
+    "llm_parse_entities": f"""WITH {REPLIES} SELECT doc_id, seq::INT AS seq, name, canonical_form, entity_type, coalesce(try_cast(said AS DOUBLE), 0.7e0) AS confidence, description
+        FROM ents LEFT JOIN bad USING (doc_id) WHERE stop IS NULL OR seq < stop""",
+    "llm_parse_relations": f"""WITH {REPLIES},
+        rels AS (
+            SELECT doc_id, i - 1 AS seq, coalesce(r->>'subject', '') AS s, coalesce(r->>'object', '') AS o, coalesce(r->>'predicate', '') AS predicate, r->>'confidence' AS said, coalesce(r->>'evidence', '') AS evidence
+            FROM (SELECT doc_id, unnest(rs) AS r, generate_subscripts(rs, 1) AS i FROM (SELECT doc_id, json_extract(j, '$.relations[*]') AS rs FROM sound)) WHERE doc_id NOT IN (SELECT doc_id FROM bad)
+        ),
+        stops AS (SELECT doc_id, min(seq) AS stop FROM rels WHERE said IS NOT NULL AND try_cast(said AS DOUBLE) IS NULL GROUP BY doc_id),
+        byname AS (SELECT doc_id, lower(canonical_form) AS k, arg_max(canonical_form, seq) AS form, arg_max(entity_type, seq) AS kind FROM ents GROUP BY ALL)
+        SELECT r.doc_id, seq::INT AS seq, coalesce(a.form, s) AS subj_canonical, coalesce(a.kind, 'Concept') AS subj_type, predicate, coalesce(b.form, o) AS obj_canonical, coalesce(b.kind, 'Concept') AS obj_type,
+               coalesce(try_cast(said AS DOUBLE), 0.7e0) AS confidence, evidence
+        FROM rels r LEFT JOIN stops USING (doc_id) LEFT JOIN byname a ON a.doc_id = r.doc_id AND a.k = lower(s) LEFT JOIN byname b ON b.doc_id = r.doc_id AND b.k = lower(o) WHERE stop IS NULL OR seq < stop""",
+    "repoint_relations": """WITH res AS (SELECT lower(canonical_form) AS k, arg_min(canonical_form, struct_pack(a := -coalesce(confidence, -1), b := entity_id)) AS form, arg_min(entity_type, struct_pack(a := -coalesce(confidence, -1), b := entity_id)) AS kind FROM entities GROUP BY 1)
+        SELECT coalesce(a.form, subj_canonical) AS subj_canonical, subj_type, predicate, coalesce(b.form, obj_canonical) AS obj_canonical, obj_type, confidence, chunk_idx, evidence
+        FROM relations LEFT JOIN res a ON a.k = lower(subj_canonical) AND a.kind = subj_type LEFT JOIN res b ON b.k = lower(obj_canonical) AND b.kind = obj_type""",
+    "link_mentions_page": """SELECT source, page, m.canonical_form, m.entity_type, coalesce(m.char_pos, 0) AS char_pos, coalesce(m.context, '') AS context
+        FROM mentions m JOIN (SELECT DISTINCT canonical_form, entity_type FROM entities) USING (canonical_form, entity_type) JOIN (SELECT chunk_idx, source, page FROM chunks) USING (chunk_idx)
+        QUALIFY row_number() OVER (PARTITION BY source, page, m.canonical_form, m.entity_type ORDER BY m.extracted_at DESC, coalesce(m.char_pos, 0) DESC, coalesce(m.context, '') DESC) = 1""",
+    "dataset_fingerprint": """WITH d AS (SELECT dataset_key, md5(chunk_idx::VARCHAR || '|' || coalesce(length(text), -1)::VARCHAR || '|' || coalesce(text, '')) AS h FROM chunks)
+        SELECT dataset_key, count(*) AS n_rows, md5(concat_ws('-', sum(('0x' || substr(h, 1, 8))::BIGINT)::VARCHAR, sum(('0x' || substr(h, 9, 8))::BIGINT)::VARCHAR, sum(('0x' || substr(h, 17, 8))::BIGINT)::VARCHAR, sum(('0x' || substr(h, 25, 8))::BIGINT)::VARCHAR)) AS fingerprint
+        FROM d GROUP BY dataset_key""",
     "sentences": f"WITH {SAID} SELECT chunk_idx, (generate_subscripts(ss, 1) - 1)::INT AS sentence_no, unnest(ss) AS sentence FROM said",
     "chunk_size": f"WITH RECURSIVE {SAID}, {folded(150)}",
     "chunk_size_no_overlap": f"WITH RECURSIVE {SAID}, {folded(0)}",
@@ -270,7 +308,7 @@ ORACLES = {
             FROM coded a JOIN coded b ON b.chunk_idx = a.chunk_idx AND b.i = a.i + 1 GROUP BY a.chunk_idx
         ),
         said AS (SELECT said0.*, near FROM said0 LEFT JOIN sims USING (chunk_idx)),
-        {folded(150, 'near[i] >= 0.35e0', False).replace('SELECT chunk_idx, ss, 1 AS i', 'SELECT chunk_idx, ss, near, 1 AS i', 1).replace('SELECT chunk_idx, ss, i + 1', 'SELECT chunk_idx, ss, near, i + 1', 1)}""",
+        {folded(150, 'round(near[i], 9) >= 0.35e0', False).replace('SELECT chunk_idx, ss, 1 AS i', 'SELECT chunk_idx, ss, near, 1 AS i', 1).replace('SELECT chunk_idx, ss, i + 1', 'SELECT chunk_idx, ss, near, i + 1', 1)}""",
     "modality_counts": "SELECT count(*) FILTER (modality = 'text' AND length(text) > 0) AS n_text, count(*) FILTER (modality = 'image') AS n_image, count(*) AS n_chunks FROM chunks",
     "effective_text": TEXTS,
     "term_stats": f"WITH {bm25(TEXTS, TERMS)} SELECT chunk_idx, term, tf::INT AS tf FROM post",
@@ -284,7 +322,7 @@ ORACLES = {
         SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({tokens('word')}) AS term FROM bag) GROUP BY ALL""",
     "vector_topk": f"WITH semq AS ({EXAMPLE}) SELECT idx AS chunk_idx, round({cosine('embedding', 'v')}, 6) AS sem, row_number() OVER (ORDER BY round({cosine('embedding', 'v')}, 9) DESC, idx)::INT AS rank FROM graph_rows, semq QUALIFY rank <= 10",
     "vector_batch": f"""WITH sound AS (SELECT idx, embedding::DOUBLE[] AS v FROM graph_rows WHERE {usable('embedding')})
-        SELECT q.idx AS query_id, d.idx AS chunk_idx, round(list_cosine_similarity(q.v, d.v), 6) AS sem,
+        SELECT q.idx AS query_id, d.idx AS chunk_idx, round(round(list_cosine_similarity(q.v, d.v), 9), 6) AS sem,
                row_number() OVER (PARTITION BY q.idx ORDER BY round(list_cosine_similarity(q.v, d.v), 9) DESC, d.idx)::INT AS rank
         FROM sound q, sound d WHERE q.idx % 20 = 0 QUALIFY rank <= 5""",
     "hash_embedding": f"""SELECT chunk_idx, list_transform(c, lambda x: round(CASE WHEN s = 0 THEN 0 ELSE x / sqrt(s) END, 6)) AS embedding
