@@ -39,6 +39,7 @@ LINE_ENDS = "\r\x0b\x0c\x85" + chr(0x2028) + chr(0x2029)
 #: Tags of compatibility decompositions that change what is drawn.
 DRAWN_OTHERWISE = {"<super>", "<sub>", "<circle>", "<fraction>", "<square>", "<font>", "<vertical>"}
 JOINER = chr(0x200D)
+PICTURE_MARKS = chr(0xFE0F) + "".join(map(chr, range(0x1F3FB, 0x1F400)))
 LAST = 0x20000  # beyond lie ideographs and private use, of which only U+2F800-2FA1F are unstable
 EXTRA = range(0x2F800, 0x2FA20)
 #: What stands between words, combining marks being part of them.
@@ -109,7 +110,7 @@ def _segment(piece: str, forms: dict[int, str]) -> str:
     """The canonical form of one unstable segment (whole words with what joins them)."""
     out = []
     for i, char in enumerate(piece):
-        if char == JOINER and i and unicodedata.category(piece[i - 1]) in ("So", "Sk", "Mn"):
+        if char == JOINER and i and (unicodedata.category(piece[i - 1]) == "So" or piece[i - 1] in PICTURE_MARKS):
             out.append(char)  # joins pictures into one
         else:
             out.append(forms.get(ord(char), char))
