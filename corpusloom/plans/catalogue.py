@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import plugins
 from corpusloom.functions.vectors import usable
 from corpusloom.operators import chunking, extraction, graph, kg_retrieval, prompts, retrieval
-from corpusloom.plans import engine, oracles
+from corpusloom.plans import engine, kg_build, oracles
 from corpusloom.session import cut
 from corpusloom.sources import cache
 from corpusloom.sources.tables import table
@@ -357,6 +357,29 @@ def entity_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return graph.entity_chunks(_links(spark, folder))
 
 
+@query
+def entity_card(spark: SparkSession, folder: str) -> DataFrame:
+    return kg_build.entity_card(_seeds(spark, folder), _links(spark, folder), _edges(spark, folder), table(spark, folder, "entities"))
+
+
+@query
+def unique_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """Entities by lower-case form only: the keys under which several types are stored."""
+    return kg_build.unique_violations(table(spark, folder, "entities").select(F.lower("canonical_form").alias("entity_key")), ["entity_key"])
+
+
+@query
+def document_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Page vertices of the graph rows, each under its source."""
+    return graph.chunk_vertices(table(spark, folder, "graph_rows"))[1]
+
+
+@query
+def kg_extract(spark: SparkSession, folder: str) -> DataFrame:
+    """Entities of the graph built from the chunks by the recogniser."""
+    return kg_build.build(kg_build.extract(table(spark, folder, "chunks")))[0]
+
+
 # search with the graph
 
 
@@ -409,6 +432,17 @@ def kg_context(spark: SparkSession, folder: str) -> DataFrame:
     return kg_retrieval.result_entities(_hits(spark, folder), _links(spark, folder), table(spark, folder, "entities"))
 
 
+@query
+def expanded_context(spark: SparkSession, folder: str) -> DataFrame:
+    return kg_build.expanded_context(cut(_hits(spark, folder)), _links(spark, folder), _edges(spark, folder), table(spark, folder, "entities"))
+
+
+@query
+def contains_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """The way back when text search isn't there: entities whose name holds a string."""
+    return kg_retrieval.contains_entities(table(spark, folder, "entities"), "Northlight")
+
+
 # prompts
 
 

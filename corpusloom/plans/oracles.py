@@ -389,6 +389,17 @@ ORACLES = {
         SELECT subj_canonical AS source, subj_type AS source_type, obj_canonical AS target, obj_type AS target_type, predicate AS type, confidence FROM edges
         WHERE (subj_canonical, subj_type) IN (SELECT (canonical_form, entity_type) FROM chosen) AND (obj_canonical, obj_type) IN (SELECT (canonical_form, entity_type) FROM chosen)""",
     "entity_chunks": f"WITH {LINKS} SELECT canonical_form, entity_type, chunk_idx, row_number() OVER (PARTITION BY canonical_form, entity_type ORDER BY chunk_idx)::INT AS rank FROM links QUALIFY rank <= 10",
+    "entity_card": f"""WITH {EDGES}, {LINKS}, {SEEDS}, {reached()}, {ranked_reach()},
+        own AS (SELECT canonical_form, entity_type, list_sort(list(chunk_idx)) AS chunks FROM (SELECT *, row_number() OVER (PARTITION BY canonical_form, entity_type ORDER BY chunk_idx) AS r FROM links QUALIFY r <= 3) GROUP BY ALL),
+        six AS (SELECT seed, list(canonical_form ORDER BY rank) AS neighbours FROM near WHERE distance = 1 AND rank <= 6 GROUP BY seed)
+        SELECT seed, description, chunks, neighbours FROM seeds JOIN entities USING (canonical_form, entity_type) LEFT JOIN own USING (canonical_form, entity_type) LEFT JOIN six USING (seed)""",
+    "unique_violations": "SELECT lower(canonical_form) AS entity_key, count(*) AS n FROM entities GROUP BY 1 HAVING count(*) > 1",
+    "document_pages": "SELECT DISTINCT source, page FROM graph_rows",
+    "contains_entities": "SELECT entity_id, canonical_form, entity_type, 1.0e0 AS score FROM entities WHERE contains(name, 'Northlight') OR contains(canonical_form, 'Northlight') ORDER BY entity_id LIMIT 10",
+    "expanded_context": f"""WITH {HITS}, {LINKS}, {EDGES},
+        seeds AS (SELECT min(struct_pack(place := rank, f := canonical_form, t := entity_type)) AS seed, canonical_form, entity_type FROM links JOIN hits USING (chunk_idx) GROUP BY canonical_form, entity_type),
+        {reached()}, {ranked_reach()}
+        SELECT canonical_form, entity_type, any_value(importance_score) AS importance_score, 0.8e0 AS confidence FROM near GROUP BY ALL""",
     "entity_search": f"WITH semq AS ({EXAMPLE}), {ASKED} SELECT entity_id, canonical_form, entity_type, round(score, 6) AS score, rank::INT AS rank FROM named",
     "query_entities": f"WITH semq AS ({EXAMPLE}), {ASKED} SELECT canonical_form, entity_type, round(score, 6) AS score FROM asked",
     "kg_entity_aware": f"""WITH {SCORES}, {LINKS}, {ASKED}, {covered(15)},

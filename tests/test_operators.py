@@ -231,3 +231,27 @@ def test_fingerprint_without_order(spark):
     rows = spark.createDataFrame([(1, "g", "a"), (2, "g", None), (3, "h", "")], "chunk_idx long, dataset_key string, text string")
     a, b = ({tuple(r) for r in cache.table_fingerprint(x, "dataset_key", "chunk_idx", "text").collect()} for x in (rows, rows.orderBy(F.desc("chunk_idx")).repartition(3)))
     assert a == b and len({r[2] for r in a}) == 2
+
+
+def test_extract_by_model_and_recogniser(spark):
+    import json
+
+    from corpusloom.functions import plugins
+    from corpusloom.plans import kg_build
+
+    text = "In 1999 the Oak Institute of Optics kept 12 percent."
+    chunks = spark.createDataFrame([(0, text, "text"), (1, "Nothing here", "text"), (2, None, "text")], "chunk_idx long, text string, modality string")
+    reply = json.dumps({
+        "entities": [{"name": "Oak Institute of Optics", "canonical": "Oak Institute Of Optics", "type": "Organization", "confidence": 0.95}, {"name": "elm", "confidence": 0.2}],
+        "relations": [{"subject": "Oak Institute Of Optics", "predicate": "KEPT", "object": "elm", "confidence": 0.9}, {"subject": "oak institute of optics", "predicate": "IS", "object": "Oak Institute Of Optics"}],
+    })
+    model = plugins.text_model(lambda prompts: [reply if "1999" in p else "{}" for p in prompts])
+    found = kg_build.extract(chunks, answer=model, gate=3)
+    names = {(r.canonical_form, r.confidence, r.char_pos) for r in found.mentions.collect()}
+    assert names == {("Oak Institute Of Optics", 0.95, 12), ("1999", 0.8, 3), ("12 percent", 0.8, 41)}
+    entities, relations = kg_build.build(found)
+    assert {(r.subj_canonical, r.predicate) for r in relations.collect()} == {("Oak Institute Of Optics", "IS")}
+    assert {r.importance_score for r in entities.collect()} == {0.1}
+    assert kg_build.extract(chunks, config.Extraction("ner_only")).relations.count() == 0
+    request = chunks.limit(1).select(kg_build.request_text(F.lit("x" * 2001), F.array(F.lit("h")))).first()[0]
+    assert "x" * 2000 + "..." in request and "Known candidates: h\n" in request
