@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import cut
 
+#: Boxes at most that are filled in one run.
+BOXES = 1000
+
 
 def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """Best fit of ``counts`` items by size: (size, first, last, each, container) per match.
@@ -93,9 +96,14 @@ def pack(items: DataFrame, boxes: DataFrame) -> DataFrame:
     are spread over the containers there are, or go to container 0.  Boxes with
     a capacity that is null or below 1 are left out.
     """
-    boxes = boxes.where("capacity >= 1").select("box", F.col("capacity").cast("int").alias("capacity"))
+    given = boxes.where("capacity >= 1").select("box", F.col("capacity").cast("int").alias("capacity")).limit(BOXES + 1).collect()
+    if len(given) > BOXES:
+        raise ValueError(f"more than {BOXES} boxes")
+    each_box = F.array(*(F.struct(F.lit(b["box"]).cast("string").alias("box"), F.lit(b["capacity"]).alias("capacity")) for b in given))
+    if not given:
+        return items.sparkSession.createDataFrame([], f"box string, container long, item {items.schema['item'].dataType.simpleString()}, piece int, start int, size int")
     sized = cut(items.select("item", F.greatest(F.coalesce(F.col("size"), F.lit(0)), F.lit(0)).cast("int").alias("all")))
-    pairs = sized.crossJoin(F.broadcast(boxes))  # as many copies of each item as there are capacities to fill
+    pairs = sized.select("item", "all", F.explode(each_box).alias("b")).select("item", "all", "b.box", "b.capacity")  # every capacity takes all items
     parts = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("all") / F.col("capacity")) - 1, F.lit(0)).cast("int"))
     parted = pairs.select("box", "capacity", "item", "all", F.explode(parts).alias("piece"))
     parted = parted.withColumn("start", F.col("piece") * F.col("capacity"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from corpusloom.session import cut
 
 #: Words on either side that are context; length of the vectors; most words of a vocabulary.
-WINDOW, DIMENSIONS, VOCABULARY = 4, 32, 4000
+WINDOW, DIMENSIONS, VOCABULARY = 4, 32, 2000
 #: Lines from either edge of a page where furniture stands.
 EDGE = 2
 #: Share and least number of a source's pages that bear a page number for it to count as scanned, or one title.
