@@ -97,6 +97,11 @@ def cached_extractions(chunks: DataFrame, kept: DataFrame) -> tuple[DataFrame, D
     return keyed.select("chunk_idx", "text_md5").join(kept, "text_md5"), keyed.join(kept.select("text_md5"), "text_md5", "left_anti")
 
 
+def keep_extractions(extracted: DataFrame, path: str) -> None:
+    """Adds extractions (text_md5 and what was found) to those kept; all their columns stay."""
+    extracted.write.mode("append").parquet(path)
+
+
 def write_export(entities: DataFrame, relations: DataFrame, folder: str) -> None:
     """Entities and relations as JSON lines."""
     kind = F.col("entity_type").alias("type")
