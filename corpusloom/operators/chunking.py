@@ -22,8 +22,7 @@ KEPT = ("chunk_idx", "page", "source", "heading", "modality", "image_path", "tag
 
 def split_sentences(text: Column) -> Column:
     """Array of sentences: cut at white space after a full stop, ``!`` or ``?`` (also the wide forms)."""
-    parts = F.transform(F.split(strip(text), _AFTER_STOP), strip)
-    return F.filter(parts, lambda s: s != "")
+    return F.filter(F.split(strip(text), _AFTER_STOP), lambda s: s != "")  # parts have no blanks at their ends
 
 
 def is_text() -> Column:
