@@ -55,8 +55,11 @@ _DATE = re.compile(rf"\b{_DAY}(?:0[-/.]0[-/.]0|0(?:st|nd|rd|th)? {_MONTH},? 0|{_
 _TAG = re.compile(r"</?[a-z][^<>\n]{0,80}>")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#x[0-9a-f]{1,6}|[a-z]\w{1,30});")
 _BLANKS = re.compile(r"[^\S\n ]| {2,}")
-#: Words that mark a line as naming its author, who is then no variable part.
-_BYLINE = re.compile(r"\b(?:by|words|text|pictures?|photos?|author|writer|editor|correspondent|reporter|desk|staff)\b")
+# Words that mark a line as naming its author, who is then no variable part, where
+# they stand next to the name: before it (but for a shared first name), or in the role behind it.
+_AUTHOR = r"(?:by|words|text|pictures?|photos?|author|writer|editor|correspondent|reporter|desk|staff)"
+_BEFORE = re.compile(rf"\b{_AUTHOR}\b\W+(?:\w+\W+){{0,2}}$")
+_BEHIND = re.compile(rf"^(?:\s*\w+)?\s*[^\w\s]\W*(?:\w+\W+){{0,2}}?{_AUTHOR}\b")
 
 
 def plain(texts: list[str | None]) -> list[list[str]]:
@@ -307,8 +310,17 @@ def _frame(a: str, b: str) -> tuple[str, str]:
     return re.sub(r"\w+$", "", a[:n]), re.sub(r"^\w+", "", a[len(a) - m :])
 
 
-def _varying(lines: dict[str, int]) -> list[Leader]:
-    """Leaders with a part that varies, from ``lines`` that begin alike and the documents that each stands for."""
+def _byline(head: str, tail: str, site: str) -> bool:
+    """Whether the part between ``head`` and ``tail`` is an author's name; the name of the ``site`` may hold any word."""
+    words = re.findall(r"[^\W_]+", site.lower().rpartition(".")[0] or site.lower())
+    if words and not all(re.fullmatch(_AUTHOR, word) for word in words):
+        own = re.compile(r"\b" + r"[\W_]+".join(words) + r"\b")
+        head, tail = own.sub("", head), own.sub("", tail)
+    return bool(_BEFORE.search(head) or _BEHIND.search(tail))
+
+
+def _varying(lines: dict[str, int], site: str) -> list[Leader]:
+    """Leaders with a part that varies, from ``lines`` of a ``site`` that begin alike and the documents that each stands for."""
     frames: Counter[tuple[str, str]] = Counter()
     these = sorted(lines, key=lambda x: (-lines[x], x))[:40]
     for i, a in enumerate(these):
@@ -320,7 +332,7 @@ def _varying(lines: dict[str, int]) -> list[Leader]:
         own = [x for x in these if x.startswith(head) and x.endswith(tail) and len(x) > len(head) + len(tail)]
         words = max((len(x[len(head) : len(x) - len(tail)].split()) for x in own), default=99)
         fixed, typical = len(head) + len(tail), sorted(map(len, own))[len(own) // 2] if own else 99
-        if fixed < 12 or len(head) < 8 or fixed < 0.5 * typical or words > VARYING_WORDS or _BYLINE.search(f"{head} {tail}"):
+        if fixed < 12 or len(head) < 8 or fixed < 0.5 * typical or words > VARYING_WORDS or _byline(head, tail, site):
             continue
         if not any(x.matches(own[0]) for x in found):
             found.append(Leader(head, tail))
@@ -334,7 +346,7 @@ def _lead(forms: pd.DataFrame) -> pd.DataFrame:
     for row in forms.itertuples():
         for line in row.lines:
             openings[" ".join(line.split()[:2])].setdefault(line, row.documents)
-    leaders = [x for opening in sorted(openings) for x in _varying(openings[opening])]
+    leaders = [x for opening in sorted(openings) for x in _varying(openings[opening], forms["site"].iloc[0])]
     for row in forms.itertuples():
         for line in row.lines if DOCUMENT not in row.form else row.lines[:1]:
             if len(line) > 3 and not any(x.matches(line) for x in leaders):
@@ -352,10 +364,10 @@ def repeated_lines(df: DataFrame, key: str, source: str, text: str, share: float
     lines are never furniture; rows of a null source are left out.  ``key`` must
     be unique.  Repeated texts count as often as they come.
     """
-    docs = df.select(F.col(key).alias("id"), F.xxhash64(source).alias("source"), F.col(text).alias("text")).where(F.col(source).isNotNull())
-    sizes = docs.groupBy("source").agg(F.count("*").alias("rows"))
+    docs = df.select(F.col(key).alias("id"), F.xxhash64(source).alias("source"), F.col(source).alias("site"), F.col(text).alias("text")).where(F.col(source).isNotNull())
+    sizes = docs.groupBy("source").agg(F.count("*").alias("rows"), F.min("site").alias("site"))
     sizes = cut(sizes.where(F.col("rows") >= least).withColumn("batches", F.ceil(F.col("rows") / BATCH).cast("int")))
-    docs = docs.where(F.length("text") > 0)
+    docs = docs.drop("site").where(F.length("text") > 0)
     counted = docs.select("source", "text").mapInArrow(_count_pieces, "piece long, source long, documents long")
     bound = lambda part, low: F.greatest(F.lit(low), F.ceil(F.col("rows") * share * part))
     often = counted.groupBy("piece", "source").agg(F.sum("documents").alias("documents")).where(F.col("documents") >= PIECE_LEAST)
@@ -383,7 +395,7 @@ def repeated_lines(df: DataFrame, key: str, source: str, text: str, share: float
     forms = suspicious.where("form <> ''").groupBy("source", "form").agg(F.count("*").alias("documents"), examples.alias("lines"))
     forms = forms.where(F.col("documents") >= LEADER_LEAST).join(sizes, "source").where(F.col("documents") >= bound(LEADER_PART, LEADER_LEAST))
     tasks = 3 * df.sparkSession.sparkContext.defaultParallelism  # few bytes, much work
-    leaders = cut(forms.select("source", "form", "documents", "lines").repartition(tasks, "source").groupBy("source").applyInPandas(_lead, "source long, leader int, head string, tail string"))
+    leaders = cut(forms.select("source", "site", "form", "documents", "lines").repartition(tasks, "source").groupBy("source").applyInPandas(_lead, "source long, leader int, head string, tail string"))
 
     def follow(keys: tuple, lines: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("leader")
