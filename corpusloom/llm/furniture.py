@@ -36,14 +36,14 @@ LEADER_PART, LEADER_LEAST = 0.15, 2
 BATCH = 1500
 #: Characters of the rolling window; one place in MEAN is a cut.
 WINDOW, MEAN = 4, 8
-#: Longest plain line that may be furniture; most words that a line may vary in.
-LONGEST, VARYING_WORDS = 200, 4
-#: Longest line as it stands, with markup, that may have such a plain form.
-LONGEST_RAW = LONGEST + 60
+#: Most words that a line may vary in.
+VARYING_WORDS = 4
 #: Longest line as it stands in which dates and counts in words are looked for.
 DATED = 120
 #: Documents that are cut into pieces at a time, so that the arrays stay near the processor.
 AT_ONCE = 500
+#: Characters that are looked at together, however long lines are.
+CHARACTERS = 1_000_000
 
 LINE, DOCUMENT = "\n", "\x1e"
 # Months, days of the week, and counts written as words.
@@ -54,7 +54,8 @@ _FIGURES = re.compile(r"\d[\d.,:]*k?\b")
 _DATE = re.compile(rf"\b{_DAY}(?:0[-/.]0[-/.]0|0(?:st|nd|rd|th)? {_MONTH},? 0|{_MONTH} 0(?:st|nd|rd|th)?,? 0)\b|\b{_COUNT}\b")
 _TAG = re.compile(r"</?[a-z][^<>\n]{0,80}>")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#x[0-9a-f]{1,6}|[a-z]\w{1,30});")
-_BLANKS = re.compile(r"[^\S\n ]| {2,}")
+_BLANKS = re.compile(r"  +")
+_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in "\n "]
 # Words that mark a line as naming its author, who is then no variable part, where
 # they stand next to the name: before it (but for a shared first name), or in the role behind it.
 _AUTHOR = r"(?:by|words|text|pictures?|photos?|author|writer|editor|correspondent|reporter|desk|staff)"
@@ -63,18 +64,15 @@ _BEHIND = re.compile(rf"^(?:\s*\w+)?\s*[^\w\s]\W*(?:\w+\W+){{0,2}}?{_AUTHOR}\b")
 
 
 def plain(texts: list[str | None]) -> list[list[str]]:
-    """The lines of each text in plain form, as many and in the same order as between its line feeds.
-
-    Lines too long to be furniture are left as they are but for letter case.
-    """
+    """The lines of each text in plain form, as many and in the same order as between its line feeds."""
     lines = [(t or "").replace(DOCUMENT, " ").lower().split(LINE) for t in texts]
     flat = [line for own in lines for line in own]
-    wide = [i for i, line in enumerate(flat) if len(line) <= LONGEST_RAW and not line.isascii()]
+    wide = [i for i, line in enumerate(flat) if not line.isascii()]
     if wide:
         for i, line in zip(wide, unicodedata.normalize("NFKC", LINE.join(flat[i] for i in wide)).lower().split(LINE), strict=True):
             flat[i] = line
-    for longest, dated in ((DATED, True), (LONGEST_RAW, False)):
-        these = [i for i, line in enumerate(flat) if (len(line) <= DATED if dated else DATED < len(line) <= longest)]
+    for dated in (True, False):
+        these = [i for i, line in enumerate(flat) if (len(line) <= DATED) == dated]
         for i, line in zip(these, _even(LINE.join([flat[i] for i in these]), dated).split(LINE), strict=False):
             flat[i] = line
     done = iter(flat)
@@ -87,6 +85,8 @@ def _even(short: str, dated: bool) -> str:
         short = _TAG.sub("", short)
     if "&" in short:
         short = _ENTITY.sub(lambda m: html.unescape(m[0]).replace(LINE, " ").replace(DOCUMENT, " "), short)
+    for space in _SPACES:
+        short = short.replace(space, " ")
     short = _FIGURES.sub("0", _BLANKS.sub(" ", short))
     return _DATE.sub("0", short) if dated else short
 
@@ -181,11 +181,16 @@ def _count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _suspicious(rows: pd.DataFrame, frequent: np.ndarray) -> pd.DataFrame:
     """Lines that may be furniture: (id, line_no, words, form), where form has the frequent pieces only."""
+    block = rows["text"].str.len().cumsum().to_numpy() // CHARACTERS
+    return pd.concat([_suspicious_of(own, frequent) for _, own in rows.groupby(block)], ignore_index=True)
+
+
+def _suspicious_of(rows: pd.DataFrame, frequent: np.ndarray) -> pd.DataFrame:
     texts = plain(rows["text"].tolist())
-    short = [[(i, line) for i, line in enumerate(own) if 0 < len(line) <= LONGEST] for own in texts]
-    lines = [line for own in short for _, line in own]
-    of_doc = np.repeat(np.arange(len(texts)), [len(own) for own in short])
-    line_no = np.fromiter((i for own in short for i, _ in own), np.int32, len(lines))
+    filled = [[(i, line) for i, line in enumerate(own) if line] for own in texts]
+    lines = [line for own in filled for _, line in own]
+    of_doc = np.repeat(np.arange(len(texts)), [len(own) for own in filled])
+    line_no = np.fromiter((i for own in filled for i, _ in own), np.int32, len(lines))
     joined = LINE.join([*lines, ""])
     _, line, start, end, hashes = pieces(joined)
     known = np.isin(_of_source(hashes, rows["source"].to_numpy()[of_doc[line]]), frequent)
@@ -225,20 +230,24 @@ def _alike(a: str, b: str, most: int) -> bool:
     a, b = a[: len(a) - tail], b[: len(b) - tail]
     if max(len(a), len(b)) <= most:
         return True
-    if not most or len(a) > 40 or len(b) > 40:
-        return False
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, row = row, [i]
-        for j, y in enumerate(b, 1):
-            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
-        if min(row) > most:
-            return False
-    return row[-1] <= most
+    reach: dict[int, int] = {}  # by how far b is ahead, the furthest place in a
+    for edits in range(most + 1):
+        before, reach = reach, {}
+        for ahead in range(-edits, edits + 1):
+            i = max(before.get(ahead, -2) + 1, before.get(ahead - 1, -1), before.get(ahead + 1, -2) + 1) if edits else 0
+            i = min(i, len(a), len(b) - ahead)
+            if i < 0 or i + ahead < 0:
+                continue
+            while i < len(a) and i + ahead < len(b) and a[i] == b[i + ahead]:
+                i += 1
+            if i == len(a) and i + ahead == len(b):
+                return True
+            reach[ahead] = i
+    return False
 
 
 def _slips(length: int) -> int:
-    return 1 if length < 8 else 2 if length < 40 else 3
+    return 1 if length < 8 else 2 if length < 40 else max(3, length // 50)
 
 
 class Leader:

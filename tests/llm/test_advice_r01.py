@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from corpusloom.llm import furniture
 from tests.llm.test_llm import site
 
@@ -28,15 +30,15 @@ def found(spark, texts, source="s.example"):
     return {tuple(r) for r in furniture.repeated_lines(site(spark, texts, source), "chunk_idx", "source", "text").collect()}
 
 
-def names(rng, many):
+def people(rng, many):
     return rng.sample([f"{a} {b}" for a in FIRST for b in LAST], many)
 
 
 def test_furniture_of_a_site_named_by_a_byline_word(spark):
     rng = random.Random(7)
-    who = names(rng, 60)
+    who = people(rng, 60)
     texts, want = pages(rng, 120, lambda i: [f"Asked about this page? Write to {who[i // 2]} at the Marlobrin Desk office"] if i % 2 else [])
-    authors = names(rng, 30)
+    authors = people(rng, 30)
     texts = [t + (f"\nPosted by {authors[i % 30]} on 3 March 2024" if i % 3 == 0 else "") for i, t in enumerate(texts)]
     assert found(spark, texts, "marlobrin-desk.example") == want
 
@@ -46,3 +48,31 @@ def test_byline_by_its_shape():
         assert furniture._byline(head, tail, "marlobrin-desk.example"), (head, tail)
     for head, tail in [("you are reading: ", " - marlobrin desk"), ("write to ", " at the marlobrin desk office"), ("write to ", " at the reader desk office"), ("text size and photos are fixed for all of ", " in print")]:
         assert not furniture._byline(head, tail, "marlobrin-desk.example"), (head, tail)
+
+
+@pytest.mark.parametrize("words", [40, 150, 2000])
+def test_furniture_in_long_lines(spark, words):
+    rng = random.Random(words)
+    notice = " ".join(rng.choices(WORDS, k=words))
+    marked = f"<p class='note'><b>{notice}</b></p>"
+    slipped = notice[:20] + "x" + notice[20:-20] + notice[-19:]
+    texts, want = pages(rng, 60, lambda i: [[notice, marked, slipped.upper()][i % 3]] if i % 4 == 0 else [])
+    assert found(spark, texts) == want
+
+
+def test_alike_equals_levenshtein():
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(3)
+    for _ in range(4000):
+        a = "".join(rng.choices("ab", k=rng.randint(0, 9)))
+        b = "".join(rng.choices("ab", k=rng.randint(0, 9)))
+        assert all(furniture._alike(a, b, most) == (edits(a, b) <= most) for most in range(5)), (a, b)
+    long = "".join(rng.choices("abcdef", k=400))
+    assert furniture._alike(long, long[:10] + "x" + long[10:380] + long[381:], 2)
