@@ -38,8 +38,6 @@ BATCH = 1500
 WINDOW, MEAN = 4, 8
 #: Most words that a line may vary in.
 VARYING_WORDS = 4
-#: Longest line as it stands in which dates and counts in words are looked for.
-DATED = 120
 #: Documents that are cut into pieces at a time, so that the arrays stay near the processor.
 AT_ONCE = 500
 #: Characters that are looked at together, however long lines are.
@@ -47,11 +45,21 @@ CHARACTERS = 1_000_000
 
 LINE, DOCUMENT = "\n", "\x1e"
 # Months, days of the week, and counts written as words.
-_MONTH = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
-_DAY = r"(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,? )?"
-_COUNT = r"(?:no|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|(?:thir|four|fif|six|seven|eigh|nine)teen|(?:twen|thir|for|fif|six|seven|eigh|nine)ty|hundred|thousand)"
-_FIGURES = re.compile(r"\d[\d.,:]*k?\b")
-_DATE = re.compile(rf"\b{_DAY}(?:0[-/.]0[-/.]0|0(?:st|nd|rd|th)? {_MONTH},? 0|{_MONTH} 0(?:st|nd|rd|th)?,? 0)\b|\b{_COUNT}\b")
+_MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
+_DAYS = "mon tue wed thu fri sat sun"
+_COUNTS = "no one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand"
+
+
+def _words(words: str, behind: str) -> str:
+    """Any of ``words`` at its start, then ``behind``, as branches that begin with a letter, which are searched fast."""
+    return "|".join(rf"{w[0]}(?<!\w{w[0]}){w[1:]}{behind}" for w in sorted(words.split(), key=lambda w: (w[0], -len(w))))
+
+
+_NUMBERED = r"0(?:[-/.]0[-/.]0|(?:st|nd|rd|th)? (?:" + _MONTHS.replace(" ", "|") + r")[a-z]*\.?,? 0)\b"
+_NAMED = r"[a-z]*\.? 0(?:st|nd|rd|th)?,? 0\b"
+_FIGURES = re.compile(r"\d[\d.,:]*(?:k?\b|(?=(?:st|nd|rd|th)\b))")
+_DATE = re.compile(rf"0(?<!\w0){_NUMBERED[1:]}|{_words(_MONTHS, _NAMED)}|" + _words(_DAYS, rf"[a-z]*,? (?:{_NUMBERED}|(?:{_MONTHS.replace(' ', '|')}){_NAMED})"))
+_COUNT = re.compile(_words(_COUNTS, r"\b"))
 _TAG = re.compile(r"</?[a-z][^<>\n]{0,80}>")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#x[0-9a-f]{1,6}|[a-z]\w{1,30});")
 _BLANKS = re.compile(r"  +")
@@ -71,24 +79,23 @@ def plain(texts: list[str | None]) -> list[list[str]]:
     if wide:
         for i, line in zip(wide, unicodedata.normalize("NFKC", LINE.join(flat[i] for i in wide)).lower().split(LINE), strict=True):
             flat[i] = line
-    for dated in (True, False):
-        these = [i for i, line in enumerate(flat) if (len(line) <= DATED) == dated]
-        for i, line in zip(these, _even(LINE.join([flat[i] for i in these]), dated).split(LINE), strict=False):
-            flat[i] = line
-    done = iter(flat)
+    flat = _even(LINE.join(flat)).split(LINE)
+    these = [i for i, line in enumerate(flat) if "0" in line]
+    for i, line in zip(these, _DATE.sub("0", LINE.join([flat[i] for i in these])).split(LINE), strict=False):
+        flat[i] = line
+    done = iter(_COUNT.sub("0", LINE.join(flat)).split(LINE))
     return [[_trimmed(next(done)) for _ in own] for own in lines]
 
 
-def _even(short: str, dated: bool) -> str:
-    """Lines without markup, with single blanks, and with counts, and dates if asked for, all alike."""
+def _even(short: str) -> str:
+    """Lines without markup, with single blanks, and with figures all alike."""
     if "<" in short:
         short = _TAG.sub("", short)
     if "&" in short:
         short = _ENTITY.sub(lambda m: html.unescape(m[0]).replace(LINE, " ").replace(DOCUMENT, " "), short)
     for space in _SPACES:
         short = short.replace(space, " ")
-    short = _FIGURES.sub("0", _BLANKS.sub(" ", short))
-    return _DATE.sub("0", short) if dated else short
+    return _FIGURES.sub("0", _BLANKS.sub(" ", short))
 
 
 def _trimmed(line: str) -> str:

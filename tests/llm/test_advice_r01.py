@@ -76,3 +76,12 @@ def test_alike_equals_levenshtein():
         assert all(furniture._alike(a, b, most) == (edits(a, b) <= most) for most in range(5)), (a, b)
     long = "".join(rng.choices("abcdef", k=400))
     assert furniture._alike(long, long[:10] + "x" + long[10:380] + long[381:], 2)
+
+
+def test_dates_in_long_lines_are_alike():
+    start = "The rules that hold for the use of these pages, for what is cited from them and for all that is sent to their makers were last revised on"
+    ways = ["3 March 2024", "Monday, 14 October 2019", "May 7th, 2021", "2020-01-31", "Sat 1st Dec. 2018", "December 12, 1999"]
+    counts = ["three", "no", "Twenty", "17", "seventeen"]
+    lines = [f"{start} {way} and read {count} times since" for way in ways for count in counts]
+    assert len(lines[0]) > 160 and {own[0] for own in furniture.plain(lines)} == {f"{start.lower()} 0 and read 0 times since"}
+    assert furniture.plain(["none of the marches, twoness, 1 marble"]) == [["none of the marches, twoness, 0 marble"]]
