@@ -80,7 +80,7 @@ def plain(texts: list[str | None]) -> list[list[str]]:
         for i, line in zip(wide, unicodedata.normalize("NFKC", LINE.join(flat[i] for i in wide)).lower().split(LINE), strict=True):
             flat[i] = line
     flat = _even(LINE.join(flat)).split(LINE)
-    these = [i for i, line in enumerate(flat) if "0" in line]
+    these = [i for i, line in enumerate(flat) if line.count("0") > 1]  # every date has two figures
     for i, line in zip(these, _DATE.sub("0", LINE.join([flat[i] for i in these])).split(LINE), strict=False):
         flat[i] = line
     done = iter(_COUNT.sub("0", LINE.join(flat)).split(LINE))
@@ -293,27 +293,35 @@ class Leaders:
     """The leaders of one source, found by the words they hold."""
 
     def __init__(self, leaders: list[Leader]):
-        self.leaders, self.exact, self.by_word, self.short = leaders, {}, defaultdict(list), []
+        self.leaders, self.exact, self.by_word, self.least = leaders, {}, defaultdict(list), []
         for i, leader in enumerate(leaders):
             if leader.tail is None:
                 self.exact.setdefault(leader.head, i)
-            words = set(f"{leader.head} {leader.tail or ''}".split())
-            for word in words:
+            for word in set(f"{leader.head} {leader.tail or ''}".split()):
                 self.by_word[word].append(i)
-            if len(words) <= 3:
-                self.short.append(i)
+            # a slip changes two words at most; the head of a varying leader may be off by one character more
+            slips = _slips(len(leader.head)) if leader.tail is None else 3
+            self.least.append(len(set(leader.head.split())) - 2 * slips)
+        self.always = [i for i, least in enumerate(self.least) if least <= 0]
         self.seen: dict[str, int] = {}
 
     def find(self, line: str) -> int:
-        """The number of the leader that ``line`` follows, or -1."""
+        """The number of the leader that ``line`` follows, or -1: of those that match the one that shares most words, the first of several.
+
+        Only leaders that share fewer words than any match must are passed over.
+        """
         if (at := self.exact.get(line)) is not None:
             return at
         if (at := self.seen.get(line)) is not None:
             return at
-        votes = Counter(i for word in set(line.split()) for i in self.by_word.get(word, ()))
-        tried = [i for i, _ in votes.most_common(4)]
-        tried += [i for i in self.short if i not in tried]
-        at = next((i for i in tried if self.leaders[i].matches(line)), -1)
+        words = set(line.split())
+        votes = Counter(i for word in words for i in self.by_word.get(word, ()))
+        short = len(words) - 3  # words that a line cut short has in common: all but the last and those of one slip
+        if short <= 0:
+            tried = list(range(len(self.leaders)))
+        else:
+            tried = {i for i, many in votes.items() if many >= min(self.least[i], short)}.union(self.always)
+        at = next((i for i in sorted(tried, key=lambda i: (-votes[i], i)) if self.leaders[i].matches(line)), -1)
         self.seen[line] = at
         return at
 

@@ -85,3 +85,18 @@ def test_dates_in_long_lines_are_alike():
     lines = [f"{start} {way} and read {count} times since" for way in ways for count in counts]
     assert len(lines[0]) > 160 and {own[0] for own in furniture.plain(lines)} == {f"{start.lower()} 0 and read 0 times since"}
     assert furniture.plain(["none of the marches, twoness, 1 marble"]) == [["none of the marches, twoness, 0 marble"]]
+
+
+def test_every_leader_that_may_match_is_tried():
+    rng = random.Random(4)
+    heads = [f"share this page with all of your readers on {word}" for word in WORDS]
+    leaders = furniture.Leaders([furniture.Leader(h) for h in heads] + [furniture.Leader("you are reading: ", " - marlo review"), furniture.Leader("ok go")])
+    for i, head in enumerate(heads):
+        at = rng.randrange(len(head) - 5, len(head))
+        for line in (head[:at] + head[at + 1 :], head.replace("page with", "pagewith")):
+            fits = [j for j, leader in enumerate(leaders.leaders) if leader.matches(line)]
+            assert i in fits and leaders.find(line) in fits, line
+    lines = ["okgo", "you are readin", "yuo are reading: the end - marlo review", "share this", "shre thispage wihall of your readers on barlo"]
+    for line in lines:
+        fits = [j for j, leader in enumerate(leaders.leaders) if leader.matches(line)]
+        assert (leaders.find(line) in fits) if fits else leaders.find(line) == -1, line
