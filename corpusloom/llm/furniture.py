@@ -36,8 +36,8 @@ LEADER_PART, LEADER_LEAST = 0.15, 2
 BATCH = 1500
 #: Characters of the rolling window; one place in MEAN is a cut.
 WINDOW, MEAN = 4, 8
-#: Most words that a line may vary in.
-VARYING_WORDS = 4
+#: Characters that a line may vary in whatever its length; more if its fixed words are as many.
+VARYING = 40
 #: Documents that are cut into pieces at a time, so that the arrays stay near the processor.
 AT_ONCE = 500
 #: Characters that are looked at together, however long lines are.
@@ -70,6 +70,8 @@ _AUTHOR = r"(?:by|words|text|pictures?|photos?|author|writer|editor|corresponden
 _BEFORE = re.compile(rf"\b{_AUTHOR}\b\W+(?:\w+\W+){{0,2}}$")
 _BEHIND = re.compile(rf"^(?:\s*\w+)?\s*[^\w\s]\W*(?:\w+\W+){{0,2}}?{_AUTHOR}\b")
 
+_BY_INSIDE = re.compile(rf"^\W*(?:\w+\W+)?{_AUTHOR}\b|\W\s*(?:\w+\W+){{0,2}}{_AUTHOR}\W*$")
+
 
 def plain(texts: list[str | None]) -> list[list[str]]:
     """The lines of each text in plain form, as many and in the same order as between its line feeds."""
@@ -263,6 +265,8 @@ class Leader:
     def __init__(self, head: str, tail: str | None = None):
         self.head, self.tail = head, tail
 
+        self.varying = max(VARYING, len(head) + len(tail or ""))
+
     def matches(self, line: str) -> bool:
         head, tail = self.head, self.tail
         if tail is None:
@@ -276,15 +280,15 @@ class Leader:
                 continue
             rest = line[len(head) + off :]
             if not tail:
-                return len(rest.split()) <= VARYING_WORDS and len(rest) <= 40
+                return len(rest) <= self.varying
             for back in (0, 1, -1):
                 at = len(rest) - len(tail) + back
-                if at > 0 and _alike(rest[at:], tail, 2) and len(rest[:at].split()) <= VARYING_WORDS:
+                if at > 0 and at <= self.varying and _alike(rest[at:], tail, 2):
                     return True
-            if len(rest.split()) <= VARYING_WORDS and len(rest) <= 30:
+            if len(rest) <= self.varying:
                 return True  # cut short within the varying part
             for known in range(3, len(tail)):  # or within the tail
-                if rest.endswith(tail[:known]) and len(rest[:-known].split()) <= VARYING_WORDS:
+                if len(rest) - known <= self.varying and rest.endswith(tail[:known]):
                     return True
         return False
 
@@ -354,15 +358,32 @@ def _varying(lines: dict[str, int], site: str) -> list[Leader]:
     found: list[Leader] = []
     for (head, tail), _ in sorted(frames.items(), key=lambda x: (-x[1], x[0])):
         own = [x for x in these if x.startswith(head) and x.endswith(tail) and len(x) > len(head) + len(tail)]
-        words = max((len(x[len(head) : len(x) - len(tail)].split()) for x in own), default=99)
-        fixed, typical = len(head) + len(tail), sorted(map(len, own))[len(own) // 2] if own else 99
-        if fixed < 12 or len(head) < 8 or fixed < 0.5 * typical or words > VARYING_WORDS or _byline(head, tail, site):
-            continue
-        if not any(x.matches(own[0]) for x in found):
+        if own and _sound(head, tail, sorted(map(len, own))[len(own) // 2], site) and not any(x.matches(own[0]) for x in found):
             found.append(Leader(head, tail))
     return found
 
 
+def _sound(head: str, tail: str, typical: float, site: str) -> bool:
+    """Whether lines of ``typical`` length are told by ``head`` and ``tail``, and no author's name stands between them."""
+    return len(head) >= 8 and len(head) + len(tail) >= max(12, 0.5 * typical) and not _byline(head, tail, site)
+
+
+def _framed(form: object) -> Leader | None:
+    """The leader with the words that all lines of a form with gaps share, if any; it depends on no examples.
+
+    What all lines share at the start is what the first and the last in order share, and from behind likewise.
+    """
+    head, tail = _frame(form.low, form.high)[0], _frame(form.back_low[::-1], form.back_high[::-1])[1]
+    slips = 2 * _slips(int(form.typical))
+    if _alike(form.low, form.high, slips) and _alike(form.back_low, form.back_high, slips):
+        return None  # one line with slips
+    if len(head) + len(tail) >= form.shortest or not _sound(head, tail, form.typical, form.site):
+        return None
+    parts = [x[len(head) : len(x) - len(tail)] for x in form.lines]  # a slip in a byline hides its word from the frame
+    named = sum(_BY_INSIDE.search(x) is not None for x in parts)
+    return Leader(head, tail) if 2 * named < len(parts) else None
+
+
 def _lead(forms: pd.DataFrame) -> pd.DataFrame:
     """The leaders of one source, from its frequent forms with a few example lines each."""
     forms = forms.sort_values(["documents", "form"], ascending=[False, True])
@@ -371,10 +392,19 @@ def _lead(forms: pd.DataFrame) -> pd.DataFrame:
         for line in row.lines:
             openings[" ".join(line.split()[:2])].setdefault(line, row.documents)
     leaders = [x for opening in sorted(openings) for x in _varying(openings[opening], forms["site"].iloc[0])]
-    for row in forms.itertuples():
-        for line in row.lines if DOCUMENT not in row.form else row.lines[:1]:
-            if len(line) > 3 and not any(x.matches(line) for x in leaders):
-                leaders.append(Leader(line))
+    whole = [DOCUMENT not in form for form in forms["form"]]
+    rows = list(forms.itertuples())
+    for row in (x for x, w in zip(rows, whole, strict=True) if w):
+        leaders += [Leader(x) for x in row.lines if len(x) > 3 and not any(y.matches(x) for y in leaders)]
+    gaps = [x for x, w in zip(rows, whole, strict=True) if not w]
+    for row in gaps:
+        ends = [row.low, row.high, row.back_low[::-1], row.back_high[::-1], *row.lines]
+        if all(any(x.matches(line) for x in leaders) for line in ends) or not (framed := _framed(row)):
+            continue
+        # single lines that the frame holds count with it
+        leaders = [x for x in leaders if x.tail is not None or not framed.matches(x.head)] + [framed]
+    for row in gaps:
+        leaders += [Leader(x) for x in row.lines[:1] if len(x) > 3 and not any(y.matches(x) for y in leaders)]
     return pd.DataFrame({"source": forms["source"].iloc[0], "leader": range(len(leaders)), "head": [x.head for x in leaders], "tail": [x.tail for x in leaders]})
 
 
@@ -416,10 +446,12 @@ def repeated_lines(df: DataFrame, key: str, source: str, text: str, share: float
     )
 
     examples = F.array_distinct(F.array(*(F.min_by("words", F.xxhash64("words", F.lit(i))) for i in range(6))))
-    forms = suspicious.where("form <> ''").groupBy("source", "form").agg(F.count("*").alias("documents"), examples.alias("lines"))
+    back = F.reverse("words")
+    frame = [F.min("words").alias("low"), F.max("words").alias("high"), F.min(back).alias("back_low"), F.max(back).alias("back_high"), F.min(F.length("words")).alias("shortest"), F.avg(F.length("words")).alias("typical")]
+    forms = suspicious.where("form <> ''").groupBy("source", "form").agg(F.count("*").alias("documents"), examples.alias("lines"), *frame)
     forms = forms.where(F.col("documents") >= LEADER_LEAST).join(sizes, "source").where(F.col("documents") >= bound(LEADER_PART, LEADER_LEAST))
     tasks = 3 * df.sparkSession.sparkContext.defaultParallelism  # few bytes, much work
-    leaders = cut(forms.select("source", "site", "form", "documents", "lines").repartition(tasks, "source").groupBy("source").applyInPandas(_lead, "source long, leader int, head string, tail string"))
+    leaders = cut(forms.drop("rows", "batches").repartition(tasks, "source").groupBy("source").applyInPandas(_lead, "source long, leader int, head string, tail string"))
 
     def follow(keys: tuple, lines: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("leader")

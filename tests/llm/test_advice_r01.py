@@ -100,3 +100,21 @@ def test_every_leader_that_may_match_is_tried():
     for line in lines:
         fits = [j for j, leader in enumerate(leaders.leaders) if leader.matches(line)]
         assert (leaders.find(line) in fits) if fits else leaders.find(line) == -1, line
+
+
+def test_varying_lines_beyond_many_with_one_opening(spark):
+    rng = random.Random(9)
+    kinds = [f"Read more about {word} and all that goes with {other} on" for word, other in zip(WORDS[:9], WORDS[20:], strict=False)]
+
+    def lines(i):
+        out = [f"{kind} {' '.join(rng.choices(WORDS, k=2))}" for kind in kinds]
+        return [*out, f"Read more in the wide archive of the house: {' '.join(rng.choices(WORDS, k=2))}"] if i % 4 == 0 else out
+
+    texts, want = pages(rng, 120, lines)
+    assert found(spark, texts) == want
+
+
+def test_long_title_in_a_line(spark):
+    rng = random.Random(12)
+    texts, want = pages(rng, 120, lambda i: [f"You are now reading this article in the archive of the Marlobrin Review: {' '.join(rng.choices(WORDS, k=7))} - all rights are with the authors"] if i % 3 == 0 else [])
+    assert found(spark, texts) == want
