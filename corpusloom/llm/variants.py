@@ -219,6 +219,22 @@ def given_forms(given_names: DataFrame) -> dict[str, set[str]]:
     return dict(full)
 
 
+def _families(cores: DataFrame, links: DataFrame) -> DataFrame:
+    """(kind, core, family): the cores that links connect, over any number of them; details decide inside a family."""
+    both = cut(links.select("kind", "core", "like").unionByName(links.select("kind", F.col("core").alias("like"), F.col("like").alias("core"))).distinct())
+    families = cut(cores.select("kind", "core", F.col("core").alias("family")))
+    while True:
+        near = both.join(families.select("kind", F.col("core").alias("like"), F.col("family").alias("other")), ["kind", "like"])
+        least = near.groupBy("kind", "core").agg(F.min("other").alias("other"))
+        stepped = families.join(least, ["kind", "core"], "left").select("kind", "core", "family", F.least("family", "other").alias("stepped"))
+        # and on to the family of that family, so that long chains take few rounds
+        onward = families.select("kind", F.col("core").alias("stepped"), F.col("family").alias("onward"))
+        stepped = cut(stepped.join(onward, ["kind", "stepped"], "left").select("kind", "core", "family", F.least("stepped", "onward").alias("next")))
+        families = stepped.select("kind", "core", F.col("next").alias("family"))
+        if stepped.where("next <> family").isEmpty():
+            return families
+
+
 def resolve(df: DataFrame, given_names: DataFrame, key: str = "entity_id", name: str = "name", kind: str = "entity_type") -> DataFrame:
     """(``key``, thing): rows with the same thing are spellings of one thing; ``thing`` is the smallest ``key`` among them.
 
@@ -241,13 +257,7 @@ def resolve(df: DataFrame, given_names: DataFrame, key: str = "entity_id", name:
     readings = cut(distinct.select("kind", "name").mapInPandas(read, "kind string, name string, core string, details array<string>"))
     cores = readings.groupBy("kind", "core").agg(F.count("*").alias("names"))
     links = linked_cores(cores)
-    # a rare core goes to the commonest of its neighbours, and on from there
-    ranked = links.join(cores.select("kind", F.col("core").alias("like"), F.col("names").alias("weight")), ["kind", "like"])
-    best = cut(ranked.groupBy("kind", "core").agg(F.max_by("like", F.struct("weight", "like")).alias("like")))
-    families = cores.join(best, ["kind", "core"], "left").select("kind", "core", F.coalesce("like", "core").alias("family"))
-    for _ in range(2):
-        onward = best.select("kind", F.col("core").alias("family"), F.col("like").alias("next"))
-        families = families.join(onward, ["kind", "family"], "left").select("kind", "core", F.coalesce("next", "family").alias("family"))
+    families = _families(cores, links)
 
     member = readings.join(families, ["kind", "core"])
     distinct_readings = member.groupBy("kind", "family", "details").agg(F.count("*").alias("rows"))

@@ -6,8 +6,8 @@ import random
 
 import pytest
 
-from corpusloom.llm import furniture
-from tests.llm.test_llm import site
+from corpusloom.llm import furniture, variants
+from tests.llm.test_llm import ENTITIES, site
 
 FIRST = ["ann", "bob", "cyd", "dora", "egon", "finn", "gwen", "hugo", "ines", "jan", "kira", "leo"]
 LAST = ["oakfield", "elmhurst", "ashgrove", "birchwood", "cedarling", "dunmore", "eastvale", "farrow", "glenholm", "hartwick"]
@@ -118,3 +118,12 @@ def test_long_title_in_a_line(spark):
     rng = random.Random(12)
     texts, want = pages(rng, 120, lambda i: [f"You are now reading this article in the archive of the Marlobrin Review: {' '.join(rng.choices(WORDS, k=7))} - all rights are with the authors"] if i % 3 == 0 else [])
     assert found(spark, texts) == want
+
+
+def test_a_core_near_two_known_cores_goes_where_its_details_agree(spark):
+    data = [(1, "Joseph Funmartomga"), (2, "Joe Funmartomga"), (3, "Funmartomga, Joseph"), (4, "Katherine Funmartombo"), (5, "Katherine Funmartomgo"), (6, "Joseph Funmartomgo")]
+    chain = ["Marta Kelvinastorbe", "Marta Kelvinastorb", "Marta Kelvinastor", "Marta Kelvinasto", "Marta Kelvinast", "Marta Kelvinas"]
+    rows = [(i, n, n, "Person", None) for i, n in data + [(20 + i, n) for i, n in enumerate(chain)]]
+    given = spark.createDataFrame([("Katherine", "Kate"), ("Joseph", "Joe"), ("Marta", "Mart")], "given string, short_form string")
+    things = {r.entity_id: r.thing for r in variants.resolve(spark.createDataFrame(rows, ENTITIES), given).collect()}
+    assert things == {1: 1, 2: 1, 3: 1, 6: 1, 4: 4, 5: 4} | {20 + i: 20 for i in range(6)}
