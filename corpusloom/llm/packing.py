@@ -1,86 +1,138 @@
 """Problem 7: items into containers of fixed capacity, with little space left.
 
-Best fit, bulk by bulk.  Sizes and gaps are whole numbers up to the capacity,
-so items of one size are alike, and so are containers with one gap.  Items are
-range-sorted by size over all tasks and numbered within their size.  Sweeps
-then go down the sizes: each bulk of items is matched with its successor, the
-containers of the smallest gap that is large enough; item numbers decide which
-item goes where, and gaps are updated before the next sweep.  What the sweeps
-see is the histogram of sizes, whose rows the capacity bounds, never the items.
+Bulk-synchronous best fit.  Items go by classes of size, the large ones first.
+In a round the items of a class and the gaps of the open containers are
+range-sorted together, and every task sweeps over its range: an item's
+successor is the smallest gap at or above it that no other item needs.  How
+much is still unmatched where a range begins or ends is handed over between
+the tasks in a table of one row each.  Where several items want one gap, their
+rank decides: the largest go in, the others wait.  Gaps are updated and swept
+again until no item of the class moves; only then are containers opened.
 """
 
 from __future__ import annotations
 
-import bisect
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.session import cut
 
 #: Boxes at most that are filled in one run.
 BOXES = 1000
-
-
-def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Best fit of ``counts`` items by size: (size, first, last, each, container) per match.
-
-    Items of ``size`` with the numbers first <= n < last go, ``each`` at a
-    time, to the containers from ``container`` on.
-    """
-    gaps: list[int] = []  # the gaps at hand, ascending
-    bulks: dict[int, list[tuple[int, int]]] = {}  # containers (first, how many) by gap
-    used, found = 0, []
-
-    def put(gap: int, first: int, many: int) -> None:
-        if gap not in bulks:
-            bisect.insort(gaps, gap)
-            bulks[gap] = []
-        bulks[gap].append((first, many))
-
-    for size in sorted(counts, reverse=True):
-        done, left = 0, counts[size]
-        while left:
-            at = bisect.bisect_left(gaps, size)
-            if at < len(gaps):
-                gap = gaps[at]
-                first, many = bulks[gap].pop()
-                if not bulks[gap]:
-                    del bulks[gap], gaps[at]
-            else:
-                gap, first = capacity, used
-                many = -(-left // (capacity // size))
-                used += many
-            each = gap // size
-            full = min(many, left // each)
-            if full:
-                found.append((size, done, done + full * each, each, first))
-                put(gap - each * size, first, full)
-                done, left = done + full * each, left - full * each
-            if full < many:
-                first, many = first + full, many - full
-                if left:  # fewer than one container takes
-                    found.append((size, done, done + left, left, first))
-                    put(gap - left * size, first, 1)
-                    done, left, first, many = done + left, 0, first + 1, many - 1
-                if many:
-                    put(gap, first, many)
-    return found
-
-
-def _numbered(items: DataFrame) -> DataFrame:
-    """``items`` with a number from 0 within each (box, size), counted over range-sorted tasks.
-
-    Each task numbers its own rows and is told how many come before it, so that
-    a size which a third of all items have is numbered by many tasks.
+#: Classes of items by how many of them a container holds: from each of these numbers on.
+CLASSES = (2, 3, 4, 8, 24, 128)
+#: From this class on the first sweep measures a gap in units of size; else in items that it holds for sure.
+BY_SIZE = 5
+
+
+def _parts(items: DataFrame, boxes: list) -> DataFrame:
+    """(box, capacity, item, piece, start, size, class) of all items for every box; oversized items in pieces."""
+    each_box = F.array(*(F.struct(F.lit(b["box"]).cast("string").alias("box"), F.lit(b["capacity"]).alias("capacity")) for b in boxes))
+    sized = cut(items.select("item", F.greatest(F.coalesce(F.col("size"), F.lit(0)), F.lit(0)).cast("long").alias("all")))
+    pairs = sized.select("item", "all", F.explode(each_box).alias("b")).select("item", "all", "b.box", F.col("b.capacity").cast("long").alias("capacity"))  # every box takes all items
+    places = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("all") / F.col("capacity")) - 1, F.lit(0)).cast("int"))
+    parted = pairs.select("box", "capacity", "item", "all", F.explode(places).alias("piece")).withColumn("start", F.col("piece") * F.col("capacity"))
+    parted = parted.withColumn("size", F.least("capacity", F.col("all") - F.col("start")))
+    fits = F.floor(F.col("capacity") / F.col("size"))
+    of_class = reduce(lambda a, b: a + b, (F.when(fits >= c, 1).otherwise(0) for c in CLASSES))
+    return parted.select("box", "capacity", "item", "piece", "start", "size", F.when(F.col("size") > 0, of_class).otherwise(-1).alias("class"))
+
+
+def _numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with a number from 0 within each box, counted over range-sorted tasks that are told how many come before them."""
+    ranged = cut(rows.repartitionByRange("box", *order).withColumn("task", F.spark_partition_id()))
+    inside = Window.partitionBy("task", "box").orderBy(*order)
+    before = Window.partitionBy("box").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = ranged.groupBy("box", "task").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")  # a row a task
+    found = ranged.withColumn("inside", F.row_number().over(inside) - 1).join(F.broadcast(tasks), ["box", "task"])
+    return found.withColumn("number", F.col("before") + F.col("inside")).drop("task", "inside", "before")
+
+
+def _swept(items: DataFrame, gaps: DataFrame, bounds: DataFrame) -> DataFrame:
+    """One sweep: ``items`` of one class in each box, whether each goes, and to which container.
+
+    ``gaps`` has box, container, gap; ``bounds`` has low and high, the least and
+    largest size of the items in each box, and by_size.  An item weighs 1 and a
+    gap as many items as it holds whatever their size, or both weigh their size.
+
+    Sorted by size, items open and gaps close.  From below, what a gap closes is
+    known by running minima of the open weight; from above, likewise, which
+    items find a gap, the largest first.  Both number the same weight, so that
+    the items found and the gaps closed pair off in order.  An item whose weight
+    would lie in two gaps waits.
     """
-    sorted_ = cut(items.repartitionByRange("box", "size", "item", "piece").withColumn("task", F.spark_partition_id()))
-    inside = Window.partitionBy("task", "box", "size").orderBy("item", "piece")
-    before = Window.partitionBy("box", "size").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    tasks = sorted_.groupBy("box", "size", "task").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    rows = sorted_.withColumn("inside", F.row_number().over(inside) - 1)
-    return rows.join(tasks.drop("count"), ["box", "size", "task"]).withColumn("number", F.col("before") + F.col("inside")).drop("task", "inside", "before")
+    spark = items.sparkSession
+    least = items.schema["item"].dataType
+    none = [F.lit(None).cast(least).alias("item"), F.lit(None).cast("int").alias("piece"), F.lit(None).cast("long").alias("start")]
+    bounds = F.broadcast(bounds)  # a row a box
+    at_hand = gaps.join(bounds, "box").where("gap >= low")
+    items = items.join(bounds.select("box", "by_size"), "box")
+    holds = F.when(F.col("by_size"), F.col("gap")).otherwise(F.greatest(F.floor(F.col("gap") / F.col("high")), F.lit(1)))
+    closing = at_hand.select("box", F.col("gap").alias("value"), F.lit(1).alias("closes"), *none, "container", (-holds).cast("long").alias("weight"))
+    opening = items.select("box", F.col("size").alias("value"), F.lit(0).alias("closes"), "item", "piece", "start", F.lit(None).cast("long").alias("container"), F.when(F.col("by_size"), F.col("size")).otherwise(1).cast("long").alias("weight"))
+    order = ["value", "closes", "item", "piece", "container"]
+    ranged = cut(opening.unionByName(closing).repartitionByRange("box", *order).withColumn("task", F.spark_partition_id()))
+
+    up = Window.partitionBy("box", "task").orderBy(*order)
+    down = Window.partitionBy("box", "task").orderBy(*(F.desc(c) for c in order))
+    so_far, below, above = up.rowsBetween(Window.unboundedPreceding, 0), up.rowsBetween(Window.unboundedPreceding, -1), down.rowsBetween(Window.unboundedPreceding, -1)
+    own = F.greatest(F.col("weight"), F.lit(0))
+    local = ranged.withColumns({"sum": F.sum("weight").over(so_far), "held": F.sum(own).over(so_far)})
+    local = local.withColumns({"before": F.col("sum") - F.col("weight"), "low_below": F.min("sum").over(below)}).withColumn("low_above", F.min("before").over(above))
+
+    # one row a task and box: what its range adds, and how low the open weight falls in it
+    shares = local.groupBy("box", "task").agg(F.sum("weight").alias("t_sum"), F.sum(own).alias("t_held"), F.min("sum").alias("t_low"), F.min("before").alias("t_low_before"))
+    earlier = Window.partitionBy("box").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("box").orderBy(F.desc("task")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("box")
+    shares = shares.withColumns({"open": F.coalesce(F.sum("t_sum").over(earlier), F.lit(0)), "held_before": F.coalesce(F.sum("t_held").over(earlier), F.lit(0)), "all": F.sum("t_sum").over(whole), "all_held": F.sum("t_held").over(whole)})
+    shares = shares.withColumns({"low_earlier": F.min(F.col("open") + F.col("t_low")).over(earlier), "low_later": F.min(F.col("open") + F.col("t_low_before")).over(later), "lowest": F.min(F.col("open") + F.col("t_low_before")).over(whole)})
+    shares = shares.select("box", "task", "open", "held_before", "all", "all_held", "low_earlier", "low_later", "lowest")
+    rows = local.join(F.broadcast(shares), ["box", "task"])
+
+    zero = F.lit(0)
+    lost = lambda low: F.greatest(zero, -F.least(zero, low))  # noqa: E731  gap weight that finds nothing below
+    unmet = lambda low: F.greatest(zero, F.col("all") - low)  # noqa: E731  item weight that finds nothing above; least() skips nulls
+    sum_, before = F.col("open") + F.col("sum"), F.col("open") + F.col("before")
+    low_below = F.least(F.col("open") + F.col("low_below"), "low_earlier")
+    low_above = F.least(F.col("open") + F.col("low_above"), "low_later")
+    lost_before, lost_here = lost(F.coalesce(low_below, zero)), lost(F.least(F.coalesce(low_below, zero), sum_))
+    unmet_above, unmet_here = F.coalesce(unmet(low_above), zero), unmet(F.least(low_above, before))
+    held = F.col("held_before") + F.col("held")
+    matched = F.col("all_held") - unmet(F.col("lowest"))
+    closed = held - sum_  # gap weight up to here, this row's included
+    item_end = matched - (F.col("all_held") - held - unmet_above)
+    gap_start, gap_end = closed + F.col("weight") - lost_before, closed - lost_here
+    is_gap = F.col("closes") == 1
+    rows = rows.select(
+        "box", "value", "closes", "item", "piece", "start", "container", matched.alias("matched"),
+        F.when(is_gap, gap_start).otherwise(F.when(unmet_here == unmet_above, item_end - F.col("weight"))).alias("from"), F.when(is_gap, gap_end).otherwise(item_end).alias("to"),
+    ).where((F.col("closes") == 0) | (F.col("to") > F.col("from")))
+
+    # matched weight is cut into stretches; a gap lies in those it touches, an item where it begins
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stretch = F.greatest(F.ceil(F.col("matched") / tasks), F.lit(256))
+    waits = -1 - F.pmod(F.xxhash64("item", "piece"), F.lit(tasks))
+    first, last = F.floor(F.col("from") / stretch), F.floor((F.col("to") - 1) / stretch)
+    rows = rows.withColumn("stretch", F.explode(F.when(is_gap, F.sequence(first, last)).otherwise(F.array(F.coalesce(first, waits)))))
+    along = Window.partitionBy("box", "stretch").orderBy("from", F.desc("closes")).rowsBetween(Window.unboundedPreceding, 0)
+    gap = F.last(F.when(is_gap, F.struct("container", "to")), ignorenulls=True).over(along)
+    met = rows.withColumn("gap", gap).where("closes = 0")
+    goes = F.coalesce(F.col("to") <= F.col("gap.to"), F.lit(False)) & F.col("from").isNotNull()
+    return cut(met.select("box", "item", "piece", "start", F.col("value").alias("size"), goes.alias("goes"), F.col("gap.container").alias("container")))
+
+
+def _updated(gaps: DataFrame, placed: DataFrame) -> DataFrame:
+    """``gaps`` less what was placed in them; full containers leave."""
+    changes = gaps.select("box", "container", "gap").unionByName(placed.select("box", "container", (-F.col("size")).alias("gap")))
+    return cut(changes.groupBy("box", "container").agg(F.sum("gap").alias("gap")).where("gap > 0"))
+
+
+def _stated(items: DataFrame, *by: str) -> list:
+    """Number, least, largest and summed size of items by box: a row each."""
+    return items.groupBy(*by).agg(F.count("*").alias("n"), F.min("size").alias("low"), F.max("size").alias("high"), F.sum("size").alias("all")).collect()
 
 
 def pack(items: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -96,37 +148,60 @@ def pack(items: DataFrame, boxes: DataFrame) -> DataFrame:
     are spread over the containers there are, or go to container 0.  Boxes with
     a capacity that is null or below 1 are left out.
     """
+    spark = items.sparkSession
     given = boxes.where("capacity >= 1").select("box", F.col("capacity").cast("int").alias("capacity")).limit(BOXES + 1).collect()
     if len(given) > BOXES:
         raise ValueError(f"more than {BOXES} boxes")
-    each_box = F.array(*(F.struct(F.lit(b["box"]).cast("string").alias("box"), F.lit(b["capacity"]).alias("capacity")) for b in given))
     if not given:
-        return items.sparkSession.createDataFrame([], f"box string, container long, item {items.schema['item'].dataType.simpleString()}, piece int, start int, size int")
-    sized = cut(items.select("item", F.greatest(F.coalesce(F.col("size"), F.lit(0)), F.lit(0)).cast("int").alias("all")))
-    pairs = sized.select("item", "all", F.explode(each_box).alias("b")).select("item", "all", "b.box", "b.capacity")  # every capacity takes all items
-    parts = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("all") / F.col("capacity")) - 1, F.lit(0)).cast("int"))
-    parted = pairs.select("box", "capacity", "item", "all", F.explode(parts).alias("piece"))
-    parted = parted.withColumn("start", F.col("piece") * F.col("capacity"))
-    parted = parted.withColumn("size", F.least("capacity", F.col("all") - F.col("start"))).select("box", "capacity", "item", "piece", "start", "size")
-    rows = _numbered(parted)
-
-    def plan(histogram: pd.DataFrame) -> pd.DataFrame:
-        some = histogram[histogram["size"] > 0]
-        found = sweep(dict(zip(some["size"].tolist(), some["count"].tolist(), strict=True)), int(histogram["capacity"].iloc[0]))
-        out = pd.DataFrame(found, columns=["size", "first", "last", "each", "container"])
-        return out.assign(box=histogram["box"].iloc[0])
-
-    histogram = parted.groupBy("box", "capacity", "size").count()
-    matches = cut(histogram.groupBy("box").applyInPandas(plan, "box string, size int, first long, last long, each long, container long"))
-    step = F.struct("first", "last", "each", "container")
-    by_size = matches.groupBy("box", "size").agg(F.collect_list(step).alias("steps"))
-    ends = matches.groupBy("box").agg(F.max(F.col("container") + F.ceil((F.col("last") - F.col("first")) / F.col("each"))).alias("containers"))
-
-    placed = rows.where("size > 0").join(by_size, ["box", "size"])
-    own = F.filter("steps", lambda s: (s["first"] <= F.col("number")) & (F.col("number") < s["last"]))[0]
-    placed = placed.withColumn("own", own)
-    placed = placed.withColumn("container", F.col("own.container") + F.floor((F.col("number") - F.col("own.first")) / F.col("own.each")))
-    empty = rows.where("size = 0").join(ends, "box", "left")
-    empty = empty.withColumn("container", F.pmod(F.col("number"), F.greatest(F.coalesce("containers", F.lit(1)), F.lit(1))))
-    out = ["box", F.col("container").cast("long").alias("container"), "item", "piece", "start", "size"]
-    return placed.select(*out).unionByName(empty.select(*out))
+        return spark.createDataFrame([], f"box string, container long, item {items.schema['item'].dataType.simpleString()}, piece int, start long, size long")
+    capacity = {str(b["box"]): b["capacity"] for b in given}
+    parts = cut(_parts(items, given))
+
+    # no two items over half of a container share one: each opens its own
+    alone = cut(_numbered(parts.where("class = 0").select("box", "capacity", "item", "piece", "start", "size"), "size", "item", "piece"))
+    placed = [alone.select("box", F.col("number").alias("container"), "item", "piece", "start", "size")]
+    gaps = cut(alone.where("size < capacity").select("box", F.col("number").alias("container"), (F.col("capacity") - F.col("size")).alias("gap")))
+    opened = {r["box"]: r["count"] for r in alone.groupBy("box").count().collect()}  # a row a box
+
+    ahead: dict[str, list[tuple]] = {box: [] for box in capacity}
+    for r in sorted(_stated(parts.where("class > 0"), "box", "class"), key=lambda r: -r["class"]):
+        ahead[r["box"]].append((r["class"], (r["n"], r["low"], r["high"], r["all"])))
+    waiting, left, at, stuck = None, {}, {}, set()
+    while left or any(ahead.values()):
+        begun = [box for box in capacity if box not in left and ahead[box]]
+        for box in begun:
+            at[box], left[box] = ahead[box].pop()
+        started = [parts.where((F.col("box") == box) & (F.col("class") == at[box])).select("box", "item", "piece", "start", "size") for box in begun]
+        waiting = reduce(DataFrame.unionByName, started if waiting is None else [waiting, *started])
+        bounds = spark.createDataFrame([(box, s[1], s[2], at[box] >= BY_SIZE and (box in begun or box in stuck)) for box, s in left.items()], "box string, low long, high long, by_size boolean")
+        room = dict.fromkeys(stuck, 0)
+        if begun:
+            own = gaps.join(F.broadcast(bounds), "box").where("gap >= low").groupBy("box").agg(F.sum("gap").alias("gap"))
+            room |= dict.fromkeys(begun, 0) | {r["box"]: r["gap"] for r in own.collect() if r["box"] in begun}  # a row a box
+        fresh = []
+        for box, free in room.items():  # as many new containers as are needed at the least
+            n, low, _, all_ = left[box]
+            more = -(-(all_ - free) // capacity[box])
+            if box in stuck:
+                more = max(more, -(-n // (capacity[box] // low)))
+            if more > 0:
+                fresh.append((box, opened.get(box, 0), opened.get(box, 0) + more - 1, capacity[box]))
+                opened[box] = opened.get(box, 0) + more
+        if fresh:
+            new = spark.createDataFrame(fresh, "box string, first long, last long, gap long")
+            gaps = gaps.unionByName(new.select("box", F.explode(F.sequence("first", "last")).alias("container"), "gap"))
+        swept = _swept(waiting, gaps, bounds)
+        went = swept.where("goes").drop("goes")
+        waiting = swept.where("NOT goes").drop("goes", "container")
+        before, left = left, {r["box"]: (r["n"], r["low"], r["high"], r["all"]) for r in _stated(waiting, "box")}
+        stuck = {box for box in left if left[box][0] == before[box][0]}
+        placed.append(went.select("box", "container", "item", "piece", "start", "size"))
+        gaps = _updated(gaps, went)
+
+    empty = parts.where("class = -1")
+    if not empty.isEmpty():
+        many = spark.createDataFrame([(box, max(1, opened.get(box, 0))) for box in capacity], "box string, many long")
+        empty = empty.join(F.broadcast(many), "box")  # a row a box
+        placed.append(empty.select("box", F.pmod(F.xxhash64("item"), F.col("many")).alias("container"), "item", "piece", "start", "size"))
+    columns: list[Column] = [F.col("box"), F.col("container").cast("long").alias("container"), F.col("item"), F.col("piece"), F.col("start").cast("long").alias("start"), F.col("size").cast("long").alias("size")]
+    return reduce(DataFrame.unionByName, placed).select(*columns)
