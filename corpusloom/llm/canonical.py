@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.session import cut
+
 # Letters of other scripts that are drawn like a Latin letter.
 LOOK_ALIKE = {
     # Cyrillic
@@ -29,6 +31,14 @@ LOOK_ALIKE = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
     "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
     "ο": "o", "ν": "v", "ρ": "p", "ϲ": "c", "ϳ": "j",
+    # Coptic
+    "Ⲁ": "A", "Ⲃ": "B", "Ⲉ": "E", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲭ": "X",
+    "ⲟ": "o", "ⲣ": "p", "ⲥ": "c",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H",
+    "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
     # Armenian, and letters of phonetic alphabets
     "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "Օ": "O", "Տ": "S", "Լ": "L",
     "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʋ": "v",
@@ -150,13 +160,19 @@ def _canonical(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(canonical, na_action="ignore").astype(object).where(batch.notna(), None)
 
 
+def _stable(text: Column) -> Column:
+    """Whether a text is null, or ASCII without tabs and other line ends, and so its own form."""
+    return text.isNull() | text.rlike(r"^[\x0a\x20-\x7e]*$")
+
+
 def canonical_text(text: Column) -> Column:
     """The canonical form of a text column.
 
-    Texts that are ASCII without tabs and other line ends are left to the JVM;
-    only the others go to Python.
+    Texts that are ASCII without tabs and other line ends are left to the JVM.
+    Python is run for every row whatever the condition, so that it is given
+    null in place of them.
     """
-    return F.when(text.isNull() | text.rlike(r"^[\x0a\x20-\x7e]*$"), text).otherwise(_canonical(text))
+    return F.when(_stable(text), text).otherwise(_canonical(F.when(~_stable(text), text)))
 
 
 def with_canonical(df: DataFrame, text: str = "text", out: str = "canonical") -> DataFrame:
@@ -176,7 +192,8 @@ def same_look_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     and leaves before any join; what remains is joined class by class.
     """
     marked = df.select(F.col(key).alias("_id"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
-    marked = marked.select("_id", F.md5("_text").alias("_own"), F.md5(canonical_text(F.col("_text"))).alias("_look"))
+    formed = marked.select("_id", F.unhex(F.md5("_text")).alias("_own"), _stable(F.col("_text")).alias("_stable"), _canonical(F.when(~_stable(F.col("_text")), F.col("_text"))).alias("_form"))
+    marked = cut(formed.select("_id", "_own", F.when(F.col("_stable"), F.col("_own")).otherwise(F.unhex(F.md5("_form"))).alias("_look")))
     looks = marked.groupBy("_look").agg(F.min("_own").alias("_low"), F.max("_own").alias("_high")).where("_low < _high")
     rows = marked.join(looks.select("_look"), "_look")
     a = rows.select("_look", F.col("_id").alias(f"{key}_a"), F.col("_own").alias("_own_a"))
