@@ -260,27 +260,51 @@ def test_tokenizer(spark):
 # 7
 
 
-def test_sweep_is_best_fit():
+def best_fit(sizes, capacity):
+    """Containers of best fit, largest first, one item at a time."""
+    gaps: list[int] = []
+    for size in sorted(sizes, reverse=True):
+        fits = [i for i, gap in enumerate(gaps) if gap >= size]
+        if fits:
+            gaps[min(fits, key=lambda i: gaps[i])] -= size
+        else:
+            gaps.append(capacity - size)
+    return len(gaps)
+
+
+def test_sweep_pairs_as_many_as_can_be(spark):
+    """One sweep where each gap takes one item: as many matches as any pairing has, the largest items first, each in a gap that holds it."""
     rng = random.Random(7)
-    for _ in range(200):
-        capacity = rng.randint(1, 40)
-        sizes = [rng.randint(1, capacity) for _ in range(rng.randint(0, 60))]
-        used = Counter()
-        done = Counter()
-        for size, first, last, each, container in packing.sweep(Counter(sizes), capacity):
-            assert first == done[size]
-            done[size] = last
-            for n in range(first, last):
-                used[container + (n - first) // each] += size
-        assert done == Counter(sizes) and all(u <= capacity for u in used.values()) and sorted(used) == list(range(len(used)))
-        plain: list[int] = []  # best fit, largest first, one by one
-        for size in sorted(sizes, reverse=True):
-            fits = [i for i, gap in enumerate(plain) if gap >= size]
-            if fits:
-                plain[min(fits, key=lambda i: plain[i])] -= size
-            else:
-                plain.append(capacity - size)
-        assert len(used) == len(plain)
+    cases = [([rng.randint(20, 39) for _ in range(rng.randint(1, 25))], [rng.randint(15, 39) for _ in range(rng.randint(1, 25))]) for _ in range(12)]
+    items = spark.createDataFrame([(str(b), i, 0, 0, s) for b, (sizes, _) in enumerate(cases) for i, s in enumerate(sizes)], "box string, item long, piece int, start long, size long")
+    gaps = spark.createDataFrame([(str(b), i, g) for b, (_, own) in enumerate(cases) for i, g in enumerate(own)], "box string, container long, gap long")
+    bounds = spark.createDataFrame([(str(b), min(sizes), max(sizes), False) for b, (sizes, _) in enumerate(cases)], "box string, low long, high long, by_size boolean")
+    swept = packing._swept(items, gaps, bounds).collect()
+    for b, (sizes, own) in enumerate(cases):
+        went = [(r.size, r.container) for r in swept if r.box == str(b) and r.goes]
+        assert len({c for _, c in went}) == len(went) and all(own[c] >= s for s, c in went) and len([r for r in swept if r.box == str(b)]) == len(sizes)
+        free, want = sorted(own), []
+        for s in sorted(sizes, reverse=True):
+            if (at := next((i for i, g in enumerate(free) if g >= s), None)) is not None:
+                want.append(s)
+                free.pop(at)
+        assert sorted((s for s, _ in went), reverse=True) == want
+
+
+def test_pack_is_tight(spark):
+    """Containers within one per cent of best fit, or one more; a third of all items have one size, and no task plans a whole box."""
+    rng = random.Random(17)
+    sizes = [40] * 1000 + [rng.randint(1, 100) for _ in range(1000)] + [rng.randint(1, 9) for _ in range(1000)]
+    items = spark.createDataFrame(list(enumerate(sizes)), "item long, size int")
+    packed = packing.pack(items, spark.createDataFrame([("a", 100), ("b", 64)], "box string, capacity int"))
+    fill: dict = {}
+    for r in packed.collect():
+        fill.setdefault(r.box, Counter())[r.container] += r.size
+    for box, capacity in (("a", 100), ("b", 64)):
+        pieces = [p for s in sizes for p in [capacity] * (s // capacity) + [s % capacity] if p]
+        assert sum(fill[box].values()) == sum(sizes) and max(fill[box].values()) <= capacity and sorted(fill[box]) == list(range(len(fill[box])))
+        assert len(fill[box]) <= max(best_fit(pieces, capacity) * 1.01, best_fit(pieces, capacity) + 1)
+    assert "InPandas" not in packed._jdf.queryExecution().toString()
 
 
 def test_pack(spark):
@@ -305,7 +329,7 @@ def test_pack(spark):
 # 8
 
 
-SAME = [("café", "café"), ("the", "ｔｈｅ"), ("a b", "a b"), ("ab", "a​b"), ("office", "oﬃce"), ("paper", "рареr"), ("well-known", "well‐known"), ("25 Ω", "25 Ω"), ("K", "K"), ("ệ", "ệ"), ("が", "が"), ("IV", "Ⅳ"), ("a\tb", "a b"), ("x\ny", "x\r\ny"), ("cope", "соре")]
+SAME = [("café", "café"), ("the", "ｔｈｅ"), ("a b", "a b"), ("ab", "a​b"), ("office", "oﬃce"), ("paper", "рареr"), ("well-known", "well‐known"), ("25 Ω", "25 Ω"), ("K", "K"), ("ệ", "ệ"), ("が", "が"), ("IV", "Ⅳ"), ("a\tb", "a b"), ("x\ny", "x\r\ny"), ("cope", "соре"), ("TOP", "ꓔꓳꓑ"), ("ACE", "ᎪᏟᎬ")]
 APART = [("m2", "m²"), ("1", "①"), ("TM", "™"), ("cafe", "café"), ("a b", "a  b"), ("a b", "a\nb"), ("A", "a"), ("", " "), ("1/2", "½"), ("Россия", "Poccia")]
 
 
