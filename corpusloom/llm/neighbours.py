@@ -1,33 +1,37 @@
 """Problem 3: the most similar vectors of every vector.
 
-A forest of random-projection trees is fitted on a bounded sample and sent to
-all tasks.  Every vector is filed under one leaf of each tree; a search walks
-all trees with one shared priority queue, in which a leaf's priority is its
-worst wrong-side margin on the way down.  Vectors and searches meet in the
-leaves, where similarities are computed in blocks and reranked exactly.
+A forest of random-projection trees is fitted on bounded samples, first the
+tops and then, in Spark, every leaf that holds too much, and sent to all tasks.
+Every vector is filed under one leaf of each tree; a search walks all trees
+with one shared priority queue, in which a leaf's priority is its worst
+wrong-side margin on the way down.  Vectors and searches meet in the leaves,
+where similarities are computed in blocks and reranked exactly.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.session import cut
 
-#: Vectors at most on which the trees are fitted; all vectors are indexed.
-SAMPLE = 20_000
-#: Vectors that a leaf is meant to hold, and the fewest of the sample in one.
-LEAF, LEAF_SAMPLE = 2048, 24
+#: Vectors at most on which the tops of the trees are fitted, and on which one overfull leaf is split; all vectors are indexed.
+SAMPLE, LEAF_DRAWN = 20_000, 4096
+#: Vectors that a leaf is meant to hold, and holds at most, and the fewest of a sample in one.
+LEAF, MOST, LEAF_SAMPLE = 2048, 4096, 24
+#: Bytes of the forest at most, which is sent to all tasks; beyond it leaves are taken in blocks.
+FOREST_BYTES = 256_000_000
 #: Trees, and leaves that one search visits over all trees together.
 TREES, VISITS = 3, 5
-#: Vectors of one leaf that one task compares at a time.
-BLOCK = 4096
+#: Searches of one leaf that one task takes at most, and compares at a time; vectors that walk the forest at a time.
+SEARCHES, BLOCK, AT_ONCE = 16_384, 2048, 2048
 #: Digits to which similarities are told apart.
 DIGITS = 9
 
@@ -64,73 +68,169 @@ def _matrix(vectors: list[bytes], dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(vectors), np.float32).reshape(len(vectors), dim)
 
 
-class Tree:
-    """Splits of a complete binary tree: node i has the children 2i+1 and 2i+2; the leaves come last."""
-
-    def __init__(self, sample: np.ndarray, depth: int, rng: np.random.Generator):
-        nodes = 2**depth - 1
-        self.depth, self.normal, self.offset = depth, np.zeros((nodes, sample.shape[1]), np.float32), np.zeros(nodes, np.float32)
-        inside = {0: np.arange(len(sample))}
-        for node in range(nodes):
-            rows = inside.pop(node)
-            self._split(node, sample[rows], rng)
-            right = sample[rows] @ self.normal[node] > self.offset[node]
-            inside[2 * node + 1], inside[2 * node + 2] = rows[~right], rows[right]
-
-    def _split(self, node: int, points: np.ndarray, rng: np.random.Generator) -> None:
-        """A hyperplane between two random points, drawn to the middle of what is nearer to each."""
-        if len(points) < 2:
-            self.normal[node] = rng.standard_normal(self.normal.shape[1])
-            return
-        a, b = points[rng.choice(len(points), 2, replace=False)]
-        for _ in range(3):
-            near = points @ (a - b) > (a @ a - b @ b) / 2
-            if near.all() or not near.any():
-                break
-            a, b = points[near].mean(0), points[~near].mean(0)
-        normal = a - b
-        if not np.any(normal):
-            normal = rng.standard_normal(len(normal)).astype(np.float32)
-        self.normal[node] = normal / np.linalg.norm(normal)
-        self.offset[node] = np.median(points @ self.normal[node])
-
-    def costs(self, vectors: np.ndarray) -> np.ndarray:
-        """For each vector and leaf the worst wrong-side margin on the way to the leaf; 0 for its own leaf."""
-        margin = vectors @ self.normal.T - self.offset
-        cost = np.zeros((len(vectors), 1), np.float32)
-        for level in range(self.depth):
-            here = margin[:, 2**level - 1 : 2 ** (level + 1) - 1]
-            both = np.stack([np.maximum(cost, here), np.maximum(cost, -here)], axis=2)
-            cost = both.reshape(len(vectors), -1)
-        return cost
-
-
-def fit_forest(sample: np.ndarray, total: int, trees: int = TREES, leaf: int = LEAF, seed: int = 7) -> list[Tree]:
-    """Trees deep enough for ``total`` vectors in leaves of about ``leaf``, as far as the sample can tell."""
-    leaves = max(1, min(total / leaf, len(sample) / LEAF_SAMPLE))
-    depth = max(0, int(np.ceil(np.log2(leaves))))
-    rng = np.random.default_rng(seed)
-    return [Tree(sample, depth, rng) for _ in range(trees)]
-
-
-def _visits(vectors: np.ndarray, forest: list[Tree], visits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Leaves (numbered over all trees) that each search visits, its own leaves first; which of them are its own."""
-    cost = np.concatenate([t.costs(vectors) for t in forest], axis=1)
-    own = cost <= 0
-    visits = min(max(visits, len(forest)), cost.shape[1])
-    cost[own] = -1
-    best = np.argpartition(cost, visits - 1, axis=1)[:, :visits] if visits < cost.shape[1] else np.tile(np.arange(cost.shape[1]), (len(vectors), 1))
-    return best, np.take_along_axis(own, best, 1)
+def _plane(points: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+    """A hyperplane between two random points, drawn to the middle of what is nearer to each, through the median."""
+    a, b = points[rng.choice(len(points), 2, replace=False)]
+    for _ in range(3):
+        near = points @ (a - b) > (a @ a - b @ b) / 2
+        if near.all() or not near.any():
+            break
+        a, b = points[near].mean(0), points[~near].mean(0)
+    normal = a - b
+    if not np.any(normal):
+        normal = rng.standard_normal(points.shape[1])
+    normal = (normal / np.linalg.norm(normal)).astype(np.float32)
+    return normal, float(np.median(points @ normal))
+
+
+def grow(points: np.ndarray, each: float, rng: np.random.Generator, leaf: int, few: int) -> list[tuple]:
+    """Nodes (normal, offset, left, right) of a tree over ``points``, each of which stands for ``each`` vectors; leaves have no normal.
+
+    Nodes are split until they stand for ``leaf`` vectors or both halves would hold under ``few`` points.
+    """
+    nodes: list[tuple] = [()]
+    open_ = [(0, np.arange(len(points)))]
+    while open_:
+        node, rows = open_.pop()
+        nodes[node] = (None, 0.0, -1, -1)
+        if len(rows) * each <= leaf or len(rows) < 2 * few:
+            continue
+        normal, offset = _plane(points[rows], rng)
+        right = points[rows] @ normal > offset
+        if right.any() and not right.all():
+            nodes[node] = (normal, offset, len(nodes), len(nodes) + 1)
+            nodes += [(), ()]
+            open_ += [(len(nodes) - 2, rows[~right]), (len(nodes) - 1, rows[right])]
+    return nodes
+
+
+class Forest:
+    """Trees of hyperplanes in flat arrays; a node without children is a leaf, known by its number."""
+
+    def __init__(self, dim: int):
+        self.normal, self.offset = np.zeros((0, dim), np.float32), np.zeros(0, np.float32)
+        self.left, self.right, self.roots = np.zeros(0, np.int32), np.zeros(0, np.int32), []
+
+    def plant(self, nodes: list[tuple], at: int | None = None) -> None:
+        """Adds a tree, or puts it in place of the leaf ``at``."""
+        start, dim = len(self.offset), self.normal.shape[1]
+        if at is None:
+            self.roots.append(start)
+        else:
+            root, nodes, start = nodes[0], nodes[1:], start - 1  # its root takes the leaf's place
+            self.normal[at], self.offset[at], self.left[at], self.right[at] = root[0], root[1], root[2] + start, root[3] + start
+        self.normal = np.concatenate([self.normal, np.array([n[0] if n[0] is not None else np.zeros(dim) for n in nodes], np.float32).reshape(-1, dim)])
+        self.offset = np.append(self.offset, np.array([n[1] for n in nodes], np.float32))
+        for name, i in (("left", 2), ("right", 3)):
+            setattr(self, name, np.append(getattr(self, name), np.array([n[i] + start if n[i] >= 0 else -1 for n in nodes], np.int32)))
+
+    def visits(self, vectors: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+        """(leaves, own): the leaves that each search visits over all trees (-1 for none), and which are its own.
+
+        All trees share one queue.  A leaf's priority is the worst wrong-side
+        margin on the way to it, which never falls on the way down and stays the
+        same on one side of each split; so the best ``many`` nodes of a level
+        lead to the best ``many`` leaves.  A search's own leaves come first.
+        """
+        wide = max(many, len(self.roots))
+        node, cost = np.full((len(vectors), wide), -1, np.int32), np.full((len(vectors), wide), np.inf, np.float32)
+        node[:, : len(self.roots)], cost[:, : len(self.roots)] = self.roots, -1
+        while (inner := (node >= 0) & (self.left[node] >= 0)).any():
+            q, s = np.nonzero(inner)
+            at = node[q, s]
+            margin = np.einsum("ij,ij->i", vectors[q], self.normal[at]) - self.offset[at]
+            side = margin > 0
+            other, worse = np.full_like(node, -1), np.full_like(cost, np.inf)
+            node[q, s] = np.where(side, self.right[at], self.left[at])
+            other[q, s] = np.where(side, self.left[at], self.right[at])
+            worse[q, s] = np.maximum(cost[q, s], np.abs(margin))
+            node, cost = np.concatenate([node, other], axis=1), np.concatenate([cost, worse], axis=1)
+            best = np.argpartition(cost, wide - 1, axis=1)[:, :wide]
+            node, cost = np.take_along_axis(node, best, 1), np.take_along_axis(cost, best, 1)
+        return node, cost < 0
+
+
+def _drawn(heads: DataFrame, share: Column) -> DataFrame:
+    """Rows of ``heads``, ``share`` of them, drawn by their look."""
+    return heads.where(F.pmod(F.xxhash64("look"), F.lit(1_000_000)) < share * 1_000_000)
+
+
+def _visited(heads: DataFrame, forest: Forest, dim: int, visits: int) -> dict[int, tuple[int, int]]:
+    """By leaf, how many vectors are filed in it and how many searches visit it, counted over all rows."""
+    shared = heads.sparkSession.sparkContext.broadcast(forest)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filed, asked = np.zeros((2, len(shared.value.offset)), np.int64)
+        for batch in batches:
+            vectors = _matrix(batch.column("vec").to_pylist(), dim)
+            for start in range(0, len(vectors), AT_ONCE):
+                leaf, own = shared.value.visits(vectors[start : start + AT_ONCE], visits)
+                filed += np.bincount(leaf[own], minlength=len(filed))
+                asked += np.bincount(leaf[leaf >= 0], minlength=len(asked))
+        at = np.flatnonzero(asked)
+        yield pa.RecordBatch.from_pydict({"leaf": pa.array(at, pa.int32()), "filed": filed[at], "asked": asked[at]})
+
+    counts = heads.select("vec").mapInArrow(count, "leaf int, filed long, asked long").groupBy("leaf").agg(F.sum("filed").alias("filed"), F.sum("asked").alias("asked"))
+    return {r["leaf"]: (r["filed"], r["asked"]) for r in counts.collect()}  # leaves, whose number FOREST_BYTES bounds
+
+
+def fit_forest(heads: DataFrame, dim: int, total: int, trees: int = TREES, visits: int = VISITS, seed: int = 7) -> tuple[Forest, dict[int, tuple[int, int]]]:
+    """A forest whose leaves hold MOST vectors at most, and what is in them.
+
+    The tops of the trees are fitted on one bounded sample.  Leaves that turn
+    out overfull are split in Spark, each on a bounded sample of its own, until
+    none is left, or none that can be split or that FOREST_BYTES has room for.
+    """
+    some = _drawn(heads, F.lit(min(1.0, SAMPLE / total))).select("vec").limit(SAMPLE + SAMPLE // 10).collect()  # the documented sample
+    sample = _matrix([r["vec"] for r in some], dim)
+    forest = Forest(dim)
+    for t in range(trees):
+        forest.plant(grow(sample, total / max(1, len(sample)), np.random.default_rng([seed, t]), LEAF, LEAF_SAMPLE))
+    counts, whole = _visited(heads, forest, dim, visits), set()
+    room = FOREST_BYTES // (4 * (dim + 3))
+    while True:
+        over = {leaf: filed for leaf, (filed, _) in counts.items() if filed > MOST and leaf not in whole}
+        if not over or len(forest.offset) + sum(4 * f // LEAF for f in over.values()) > room:
+            return forest, counts
+        sent = heads.sparkSession.sparkContext.broadcast((forest, over))
+
+        def own(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            forest, over = sent.value
+            share = np.zeros(len(forest.offset))
+            share[list(over)] = [LEAF_DRAWN / f for f in over.values()]
+            for batch in batches:
+                vec = batch.column("vec")
+                vectors = _matrix(vec.to_pylist(), dim)
+                draw = np.frombuffer(b"".join(x[:8] for x in batch.column("look").to_pylist()), np.uint64) / 2.0**64
+                for start in range(0, len(vectors), AT_ONCE):
+                    leaf = forest.visits(vectors[start : start + AT_ONCE], len(forest.roots))[0]
+                    q, s = np.nonzero(share[leaf] > draw[start : start + AT_ONCE, None])
+                    yield pa.RecordBatch.from_arrays([pa.array(leaf[q, s], pa.int32()), vec.take(pa.array(q + start))], ["leaf", "vec"])
+
+        def split(rows: pd.DataFrame) -> pd.DataFrame:
+            leaf = int(rows["leaf"].iloc[0])
+            points = _matrix(sorted(rows["vec"]), dim)
+            return pd.DataFrame({"leaf": [leaf], "nodes": [pickle.dumps(grow(points, over[leaf] / len(points), np.random.default_rng([seed, leaf]), LEAF, LEAF_SAMPLE))]})
+
+        grown = heads.select("look", "vec").mapInArrow(own, "leaf int, vec binary").groupBy("leaf").applyInPandas(split, "leaf int, nodes binary")
+        trees_at = {r["leaf"]: pickle.loads(r["nodes"]) for r in grown.collect()}  # bounded by FOREST_BYTES
+        whole |= {leaf for leaf in over if len(trees_at.get(leaf, ())) < 2}
+        if not over.keys() - whole:
+            return forest, counts
+        for leaf in sorted(over.keys() - whole):
+            forest.plant(trees_at[leaf], leaf)
+        counts = _visited(heads, forest, dim, visits)
 
 
 def _leaf_pairs(rows: pd.DataFrame, dim: int, k: int, least: float) -> pd.DataFrame:
     """The best ``k`` of a leaf's vectors for each search in it, by similarity rounded and then by id."""
     vectors = _matrix(rows["vec"].tolist(), dim)
-    ids, own = rows["id"].to_numpy(), rows["own"].to_numpy()
-    filed, filed_ids = vectors[own], ids[own]
-    found = []
-    for start in range(0, len(rows), BLOCK):
-        these = slice(start, start + BLOCK)
+    ids, filed = rows["id"].to_numpy(), rows["filed"].to_numpy()
+    asked = np.flatnonzero(rows["asks"].to_numpy())
+    filed, filed_ids = vectors[filed], ids[filed]
+    found = [pd.DataFrame({"id": ids[:0], "other": ids[:0], "similarity": np.zeros(0)})]
+    for start in range(0, len(asked), BLOCK):
+        these = asked[start : start + BLOCK]
         near = vectors[these] @ filed.T
         q, f = np.nonzero(near >= least - 1e-4)
         apart = ids[these][q] != filed_ids[f]
@@ -165,28 +265,32 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, least: float = -1.
     some = points.withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= k + 1)
     heads = cut(some.groupBy("look").agg(F.min("id").alias("head"), F.sort_array(F.collect_list("id")).alias("ids"), F.min_by("vec", "id").alias("vec")))
 
-    thousandths = max(1, int(1000 * min(1.0, SAMPLE / total)))
-    drawn = heads.where(F.pmod(F.xxhash64("look"), F.lit(1000)) < thousandths) if total > SAMPLE else heads
-    sample = _matrix([r["vec"] for r in drawn.select("vec").limit(SAMPLE + SAMPLE // 10).collect()] or [bytes(4 * dim)], dim)
-    forest = fit_forest(sample, total, trees)
-    shared = spark.sparkContext.broadcast(forest)
-    leaves = trees * 2 ** forest[0].depth
-    blocks = max(1, int(np.ceil(total * trees / leaves / (2 * BLOCK))))
+    forest, counts = fit_forest(heads, dim, total, trees, visits)
+    # a leaf's vectors and its searches are both taken in blocks of bounded size, each of one with each of the other
+    files, asks = np.ones((2, len(forest.offset)), np.int32)
+    for leaf, (filed, asked) in counts.items():
+        files[leaf], asks[leaf] = -(-filed // MOST), -(-asked // SEARCHES)
+    shared = spark.sparkContext.broadcast((forest, files, asks))
 
-    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("leaf", pa.int32()), ("block", pa.int32()), ("own", pa.bool_()), ("id", pa.int64()), ("vec", pa.binary())])
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, files, asks = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            vec, ids = batch.column("vec"), batch.column("head").to_numpy(zero_copy_only=False)
-            best, own = _visits(_matrix(vec.to_pylist(), dim), shared.value, visits)
-            rows = np.repeat(np.arange(len(ids)), best.shape[1])
-            leaf, own = best.ravel(), own.ravel()
-            for block in range(blocks):  # a search asks every block of a leaf; a vector is filed in one
-                filed = own & (ids[rows] % blocks == block)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(np.full(len(rows), block), pa.int32()), pa.array(filed), pa.array(ids[rows]), vec.take(pa.array(rows))], schema=schema)
-
-    met = heads.select("head", "vec").mapInArrow(file, "leaf int, block int, own boolean, id long, vec binary")
+            vec, every = batch.column("vec"), batch.column("head").to_numpy(zero_copy_only=False)
+            vectors = _matrix(vec.to_pylist(), dim)
+            for start in range(0, len(every), AT_ONCE):
+                leaf, own = forest.visits(vectors[start : start + AT_ONCE], visits)
+                q, s = np.nonzero(leaf >= 0)
+                leaf, own, ids = leaf[q, s], own[q, s], every[start + q]
+                for block in range(int((files[leaf] * asks[leaf]).max(initial=1))):
+                    filed = own & (block % files[leaf] == ids % files[leaf])
+                    asking = block // files[leaf] == ids // 64 % asks[leaf]
+                    at = np.flatnonzero((block < files[leaf] * asks[leaf]) & (filed | asking))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(leaf[at], pa.int32()), pa.array(np.full(len(at), block), pa.int32()), pa.array(filed[at]), pa.array(asking[at]), pa.array(ids[at]), vec.take(pa.array(start + q[at]))],
+                        ["leaf", "block", "filed", "asks", "id", "vec"],
+                    )
+
+    met = heads.select("head", "vec").mapInArrow(meet, "leaf int, block int, filed boolean, asks boolean, id long, vec binary")
     near = met.groupBy("leaf", "block").applyInPandas(lambda rows: _leaf_pairs(rows, dim, k, least), "id long, other long, similarity double")
     best = near.groupBy("id").agg(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("similarity")).alias("far"), "other"))), 1, k).alias("near"))
 
