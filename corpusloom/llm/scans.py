@@ -2,28 +2,35 @@
 
 Over all pages, the lines at the edges tell which sources are scanned, what
 their running titles are and how printed page numbers go with the pages; pairs
-of words that stand near each other give skip-gram vectors.  A word that is not
-of the vocabulary is then linked to words of it by glyph edits that a scanner
-makes, and where several fit, the one is taken whose vector goes best with the
-words around it.
+of words that stand near each other give skip-gram vectors, of the vocabulary
+and of the rare words of scanned pages.  A rare word is linked to its frequent
+neighbours that glyph edits of a scanner lead to, each with the likeness of
+their vectors.  On a page, the linked word is taken that also goes best with
+the words around it; then furniture is left out and lines run on.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm import skipgram
 from corpusloom.session import cut
 
-#: Words on either side that are context; length of the vectors; most words of a vocabulary.
-WINDOW, DIMENSIONS, VOCABULARY = 4, 32, 2000
+#: Words on either side that are context; most words of a vocabulary, whose list and vectors are sent to all tasks.
+WINDOW, VOCABULARY = 4, 1_000_000
+#: Sources whose titles are sent to all tasks at most; tasks that one source is spread over beyond that.
+SOURCES, SALT = 200_000, 32
+#: What speaks for a word: its vector beside those around it, its frequency, its likeness to what was read; against it, glyph edits.
+AROUND, OFTEN, LIKE, EDIT = 1.0, 0.3, 1.0, 2.5
 #: Lines from either edge of a page where furniture stands.
 EDGE = 2
 #: Share and least number of a source's pages that bear a page number for it to count as scanned, or one title.
@@ -44,6 +51,7 @@ GLYPHS = [
 ]
 HYPHENS = "-" + chr(0x2010) + chr(0x2011) + chr(0xAC) + chr(0xAD)
 _WORD = re.compile(rf"[^\W_]+(?:[{HYPHENS}][^\W_]+)*|[^\W_]*[|!][^\W_]+")
+_TOKEN, _FIGURE = re.compile(r"[^\W_]+"), re.compile(r"\d")
 _LAST = re.compile(rf"([^\W\d_][^\W_]*(?:-[^\W_]+)*|\d[^\W_]*)([{HYPHENS}]?)\s*$")
 _FIRST = re.compile(r"\s*([^\W_]+(?:-[^\W_]+)*)")
 _DIGIT = str.maketrans("lIiOoSsB", "11100558")
@@ -73,7 +81,9 @@ _FOLDS = [("rn", "m"), ("vv", "w"), ("0", "o"), ("1", "l"), ("i", "l"), ("5", "s
 
 def _title_key(line: str) -> str:
     """A line without page numbers, in letters that scanners don't confuse."""
-    kept = [t for t in re.findall(r"[^\W_]+", line) if not (any(c.isdigit() for c in t) and _as_number(t) is not None)]
+    kept = _TOKEN.findall(line)
+    if _FIGURE.search(line):
+        kept = [t for t in kept if not (any(c.isdigit() for c in t) and _as_number(t) is not None)]
     key = " ".join(kept).lower()
     for read, fold in _FOLDS:
         key = key.replace(read, fold)
@@ -96,17 +106,16 @@ def _numbers(line: str) -> set[int]:
 
 
 class Words:
-    """A vocabulary as a tree of letters, searched for what a misread word may have been."""
+    """A vocabulary as a tree of letters, searched for what a misread word may have been.
+
+    The tree lies over the sorted words; a node is built when it is first entered.
+    """
 
     def __init__(self, words: dict[str, str]):
         self.language = words
-        self.index = {w: i for i, w in enumerate(sorted(words))}
-        self.tree: dict = {}
-        for word in words:
-            node = self.tree
-            for c in word:
-                node = node.setdefault(c, {})
-            node[""] = word
+        self.sorted = sorted(words)
+        self.index = {w: i for i, w in enumerate(self.sorted)}
+        self.tree = _Node(0, len(self.sorted), 0)
         self.edits: dict[str, list[tuple[str, str]]] = defaultdict(list)
         for printed, read in GLYPHS:
             self.edits[read[0]].append((read, printed))
@@ -123,14 +132,14 @@ class Words:
 
     def _search(self, read: str) -> dict[str, int]:
         most = min(EDITS, max(1, int(len(read) * EDIT_SHARE)))
-        level: dict[tuple[int, int], tuple[dict, int]] = {(0, id(self.tree)): (self.tree, 0)}
+        level: dict[tuple[int, int], tuple[_Node, int]] = {(0, id(self.tree)): (self.tree, 0)}
         found: dict[str, int] = {}
         while level:
-            onward: dict[tuple[int, int], tuple[dict, int]] = {}
+            onward: dict[tuple[int, int], tuple[_Node, int]] = {}
             for (at, _), (node, cost) in level.items():
                 if at == len(read):
-                    if "" in node:
-                        found[node[""]] = min(cost, found.get(node[""], cost))
+                    if (word := node.word(self.sorted)) is not None:
+                        found[word] = min(cost, found.get(word, cost))
                     continue
                 steps = [(at + 1, read[at], cost)]
                 if cost < most:
@@ -138,7 +147,7 @@ class Words:
                 for then, letters, costs in steps:
                     child = node
                     for c in letters:
-                        child = child.get(c)
+                        child = child.below(self.sorted).get(c)
                         if child is None:
                             break
                     if child is not None:
@@ -149,30 +158,26 @@ class Words:
         return found
 
 
-def skip_gram(pairs: pd.DataFrame, size: int, negatives: float = 5.0, rounds: int = 120, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Skip-gram vectors (of words, of contexts) from counts of (word, context) pairs of a vocabulary of ``size``.
+class _Node:
+    """The sorted words from ``low`` to ``high``, which begin with the same ``depth`` letters."""
 
-    The loss of skip-gram with negative samples depends on the corpus through
-    these counts only, so its expectation is descended along exactly.
-    """
-    n = np.zeros((size, size), np.float32)
-    n[pairs["word"], pairs["context"]] = pairs["pairs"]
-    rng = np.random.default_rng(seed)
-    u, v = (rng.normal(0, 0.1, (size, DIMENSIONS)).astype(np.float32) for _ in range(2))
-    if not n.any():
-        return u, v
-    noise = n.sum(0) ** 0.75
-    against = negatives * n.sum(1, keepdims=True) * (noise / noise.sum())
-    weight = n + against
-    weight_sum = np.maximum(weight.sum(1, keepdims=True), 1), np.maximum(weight.sum(0, keepdims=True).T, 1)
-    speed = [np.zeros_like(u), np.zeros_like(v)]
-    for _ in range(rounds):
-        error = n - weight / (1 + np.exp(-np.clip(u @ v.T, -30, 30)))
-        for x, gradient, total, s in ((u, error @ v, weight_sum[0], speed[0]), (v, error.T @ u, weight_sum[1], speed[1])):
-            s *= 0.9
-            s += gradient / total
-            x += 1.0 * s
-    return u, v
+    __slots__ = ("children", "depth", "high", "low")
+
+    def __init__(self, low: int, high: int, depth: int):
+        self.low, self.high, self.depth, self.children = low, high, depth, None
+
+    def word(self, words: list[str]) -> str | None:
+        return words[self.low] if self.low < self.high and len(words[self.low]) == self.depth else None
+
+    def below(self, words: list[str]) -> dict[str, _Node]:
+        if self.children is None:
+            self.children, at = {}, self.low + (self.word(words) is not None)
+            while at < self.high:
+                start = words[at][: self.depth + 1]
+                end = bisect.bisect_right(words, start + chr(0x10FFFF), at, self.high)
+                self.children[start[-1]] = _Node(at, end, self.depth + 1)
+                at = end
+        return self.children
 
 
 def _body_tokens(text: str) -> list[str]:
@@ -182,8 +187,8 @@ def _body_tokens(text: str) -> list[str]:
 class Page:
     """What one page holds: furniture, broken words, misread words, and its repaired text."""
 
-    def __init__(self, text: str, page: int | None, offset: int, titles: frozenset[str], words: Words, vectors: tuple[np.ndarray, np.ndarray, np.ndarray], own: frozenset[str]):
-        self.lines, self.words, self.vectors, self.own = text.split("\n"), words, vectors, own
+    def __init__(self, text: str, page: int | None, offset: int, titles: frozenset[str], words: Words, vectors: tuple[np.ndarray, np.ndarray, np.ndarray], links: dict[str, dict[str, tuple[int, float]]]):
+        self.lines, self.words, self.vectors, self.links = text.split("\n"), words, vectors, links
         self.furniture = self._furniture(page, offset, titles)
         self.found: list[tuple[int, str, str]] = [(i, "furniture", "") for i in sorted(self.furniture)]
         self._read()
@@ -196,7 +201,7 @@ class Page:
                 key = _title_key(line)
                 if key in titles or (len(key) > 8 and any(abs(len(t) - len(key)) <= 2 and _close(key, t) for t in titles)):
                     heads.add(i)
-            if len(line) <= 40 and page is not None and (m := _PAGE.match(line)) is not None:
+            if page is not None and (m := _PAGE.match(line)) is not None:
                 stated = _numbers(line)
                 if page + offset in stated or page + offset + 1 in stated:  # a page may run on to the next one
                     numbers[i] = page + offset in stated, bool(m[1] or m[3])
@@ -247,7 +252,7 @@ class Page:
         out: dict[int, tuple[str, bool]] = {}
         known = self.words.index
         for i, after in zip(body, body[1:], strict=False):
-            end, start = _LAST.search(self.lines[i]), _FIRST.match(self.lines[after])
+            end, start = _LAST.search((self.lines[i].split() or [""])[-1]), _FIRST.match(self.lines[after])
             if not end or not start or after != i + 1 and any(self.lines[j].strip() == "" for j in range(i + 1, after)):
                 continue
             a, b = end[1].lower(), start[1].lower()
@@ -258,18 +263,18 @@ class Page:
                 if whole:
                     out[i] = (whole, False)
                 elif printed := self.words.printed(a + b):
-                    out[i] = (self._best(printed, []), True)
+                    out[i] = (self._best({w: (c, 0.0) for w, c in printed.items()}, []), True)
             elif whole and not (a in known and b in known):
                 out[i] = (whole, False)
             elif not whole and a not in known and b not in known and len(a + b) >= 7 and not self.words.printed(a) and not self.words.printed(b) and (printed := self.words.printed(a + b)):
-                out[i] = (self._best(printed, []), True)
+                out[i] = (self._best({w: (c, 0.0) for w, c in printed.items()}, []), True)
         return out
 
     def _fixed(self, word: str, at: int, flat: list, tokens: list, ids: list[int], body: list[int]) -> str | None:
         """The word of the vocabulary that was printed, unless ``word`` is a name, a number or can't be told."""
         if len(word) > 1 and word.isupper() or _NUMBER.fullmatch(word) and any(c.isdigit() for c in word) and _as_number(word) is not None:
             return None
-        printed = self.words.printed(word.lower()) if word.lower() not in self.own else None
+        printed = self.links.get(word.lower())
         if not printed:
             return None
         n, k = flat[at]
@@ -292,15 +297,16 @@ class Page:
             return False
         return True
 
-    def _best(self, printed: dict[str, int], context: list[int]) -> str:
+    def _best(self, printed: dict[str, tuple[int, float]], context: list[int]) -> str:
+        """Of words with their glyph edits and likeness to what was read, the one that goes best with the words around it."""
         u, v, often = self.vectors
         index = self.words.index
-        least = min(printed.values())
-        near = {w: c for w, c in printed.items() if c <= least + 1}
+        least = min(c for c, _ in printed.values())
+        near = {w: x for w, x in printed.items() if x[0] <= least + 1}
         if len(near) == 1:
             return next(iter(near))
-        around = v[context].mean(0) if context else np.zeros(u.shape[1], np.float32)
-        return max(sorted(near), key=lambda w: float(u[index[w]] @ around) * (3.0 if context else 0) + 0.3 * often[index[w]] - 2.5 * near[w])
+        around = v[context].mean(0) if context else np.zeros(u.shape[1])
+        return max(sorted(near), key=lambda w: AROUND * float(u[index[w]] @ around) + OFTEN * often[index[w]] + LIKE * near[w][1] - EDIT * near[w][0])
 
     def text(self) -> str:
         """The page as paragraphs: furniture left out, words joined and corrected, lines run on."""
@@ -347,9 +353,117 @@ def _vocabulary(words: DataFrame) -> dict[str, str]:
     return {r["word"]: r["lang"] for r in rows}
 
 
-@lru_cache(2)
-def _tree(words: tuple[tuple[str, str], ...]) -> Words:
-    return Words(dict(words))
+class _Pairs:
+    """Pairs of neighbouring words as counted within one task: of the vocabulary, and of other words with it."""
+
+    def __init__(self, tree: Words):
+        self.tree, self.size = tree, max(1, len(tree.index))
+        self.numbers: dict[str, int] = {}
+        self.held: list[np.ndarray] = []
+        self.many = 0
+
+    def add(self, spoken: list[str]) -> None:
+        """Counts the pairs of words up to WINDOW apart; words that can't be of the vocabulary part them."""
+        index, numbers, size = self.tree.index, self.numbers, self.size
+        ids = np.array([index[t] if t in index else size + numbers.setdefault(t, len(numbers)) if t and self.tree.printed(t) else -1 for t in spoken], np.int64)
+        for gap in range(1, WINDOW + 1):
+            a, b = ids[:-gap], ids[gap:]
+            for word, context in ((a, b), (b, a)):
+                keep = (word >= 0) & (context >= 0) & (context < size)
+                self.held.append(word[keep] * size + context[keep])
+                self.many += int(keep.sum())
+
+    def taken(self) -> pd.DataFrame:
+        keys, counts = np.unique(np.concatenate(self.held) if self.held else np.zeros(0, np.int64), return_counts=True)
+        word, context = keys // self.size, keys % self.size
+        names = np.array([*self.numbers, ""], object)
+        other = word >= self.size
+        line = names[np.where(other, word - self.size, len(names) - 1)]
+        self.numbers, self.held, self.many = {}, [], 0
+        what = np.where(other, "near", "pair")
+        return pd.DataFrame({"id": None, "source": None, "what": what, "line": line, "number": np.where(other, -1, word), "context": context.astype(np.int64), "count": counts})
+
+
+def _survey(given: DataFrame, tree, kind: str) -> DataFrame:
+    """What all pages say, in one pass, counted within batches and tasks.
+
+    Rows are (id, source, what, line, number, context, count): 'pages',
+    'title' and 'offset' of a source, 'word' for the words of a page that may
+    be misread ones, 'pair' and 'near' for pairs of words.
+    """
+
+    def survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = tree.value
+        pairs = _Pairs(words)
+        for batch in batches:
+            edges: Counter[tuple] = Counter()
+            of_page: list[tuple] = []
+            spoken: list[str] = []
+            for key, of, number, page_text in zip(batch["id"], batch["source"], batch["page"], batch["text"], strict=True):
+                lines = page_text.split("\n")
+                keys, offsets = set(), set()
+                for i in _edges(lines):
+                    keys.add(_title_key(lines[i]))
+                    offsets |= {n - int(number) for n in _numbers(lines[i])} if number == number and number is not None else set()
+                edges[of, "pages", "", 0] += 1
+                edges.update((of, "title", k, 0) for k in keys if len(k) > 5)
+                edges.update((of, "offset", "", o) for o in offsets)
+                tokens = _body_tokens(page_text)
+                rare = Counter(t for t in tokens if t not in words.index)
+                of_page += ((key, of, t, n) for t, n in rare.items() if words.printed(t))
+                spoken += tokens
+                spoken += [""] * WINDOW
+            pairs.add(spoken)
+            if edges:
+                source, what, line, number = zip(*edges, strict=True)
+                yield pd.DataFrame({"id": None, "source": source, "what": what, "line": line, "number": number, "context": -1, "count": list(edges.values())})
+            if of_page:
+                key, of, line, count = zip(*of_page, strict=True)
+                yield pd.DataFrame({"id": key, "source": of, "what": "word", "line": line, "number": 0, "context": -1, "count": count})
+            if pairs.many > 2_000_000:
+                yield pairs.taken()
+        yield pairs.taken()
+
+    return given.select("id", "source", "page", "text").mapInPandas(survey, f"id {kind}, source long, what string, line string, number long, context long, count long")
+
+
+def _links(rare: DataFrame, near: DataFrame, tree, vectors) -> DataFrame:
+    """(word, printed): for each rare word, as ``printed``, the words of the vocabulary that glyph edits lead to, with their likeness.
+
+    A rare word's own vector is fitted to all its contexts in the corpus;
+    likeness is the cosine of the angle with that of its frequent neighbour.
+    """
+    bags = skipgram.bags(near.select("word", F.col("context").cast("int").alias("context"), F.col("count").alias("pairs")), "word")
+    tasks = 3 * rare.sparkSession.sparkContext.defaultParallelism
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, (u, v, often) = tree.value, vectors.value
+        side = skipgram.Side(v, often)
+        length = np.sqrt((u * u).sum(1)) + 1e-9
+        for batch in batches:
+            found = []
+            for word, contexts, counts in zip(batch["word"], batch["contexts"], batch["counts"], strict=True):
+                printed = words.printed(word)
+                least = min(printed.values())
+                close = [w for w, c in printed.items() if c <= least + 1]
+                like = dict.fromkeys(close, 0.0)
+                if len(close) > 1 and contexts is not None:
+                    own = side.fit(np.asarray(contexts), np.asarray(counts, np.float64), np.zeros(u.shape[1]), zlib.crc32(word.encode()))
+                    at = [words.index[w] for w in close]
+                    like = dict(zip(close, (u[at] @ own / (length[at] * (np.sqrt(own @ own) + 1e-9))).tolist(), strict=True))
+                found.append([{"to": w, "edits": printed[w], "likeness": like[w]} for w in sorted(close)])
+            yield pd.DataFrame({"word": batch["word"], "printed": found})
+
+    joined = rare.join(bags, "word", "left").repartition(tasks, "word")
+    return joined.mapInPandas(link, "word string, printed array<struct<to:string,edits:int,likeness:double>>")
+
+
+def _beside(rows: DataFrame, about: DataFrame, how: str) -> DataFrame:
+    """``rows`` joined with ``about`` by source: sent to all tasks up to SOURCES rows, beyond them spread over SALT tasks a source."""
+    if about.limit(SOURCES + 1).count() <= SOURCES:
+        return rows.join(F.broadcast(about), "source", how)
+    salted = about.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(salted, ["source", "salt"], how).drop("salt")
 
 
 def read_pages(pages: DataFrame, words: DataFrame, key: str = "chunk_idx", source: str = "source", page: str = "page", text: str = "text") -> DataFrame:
@@ -362,88 +476,59 @@ def read_pages(pages: DataFrame, words: DataFrame, key: str = "chunk_idx", sourc
     look scanned have no findings and keep their text; so do all pages if
     ``words`` is empty, furniture aside.  Rows with null or empty text are left
     out, null sources aren't scanned, and null pages bear no page number.
-    Repeated pages each count.
+    Repeated pages each count; ``key`` must be unique.
     """
     spark = pages.sparkSession
-    vocabulary = tuple(sorted(_vocabulary(words).items()))
-    size = len(vocabulary)
+    tree = spark.sparkContext.broadcast(Words(_vocabulary(words)))
+    size = max(1, len(tree.value.index))
+    kind = pages.schema[key].dataType.simpleString()
     given = pages.select(F.col(key).alias("id"), F.xxhash64(source).alias("source"), F.col(page).cast("int").alias("page"), F.col(text).alias("text")).where(
         F.col(source).isNotNull() & (F.length(text) > 0)
     )
-
-    def survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Edge lines of each page, and counts of word pairs within this task (with source null)."""
-        tree = _tree(vocabulary)
-        index = tree.index
-        many = max(size, 1)
-        pairs = np.zeros(many * many, np.int64)
-        for batch in batches:
-            edges: Counter[tuple] = Counter()
-            spoken: list[str] = []
-            for of, number, page_text in zip(batch["source"], batch["page"], batch["text"], strict=True):
-                lines = page_text.split("\n")
-                keys, offsets = set(), set()
-                for i in _edges(lines):
-                    if len(lines[i]) <= 160:
-                        keys.add(_title_key(lines[i]))
-                        offsets |= {n - int(number) for n in _numbers(lines[i])} if number == number and number is not None else set()
-                edges[of, "pages", "", 0] += 1
-                edges.update((of, "title", k, 0) for k in keys if len(k) > 5)
-                edges.update((of, "offset", "", o) for o in offsets)
-                tokens = _body_tokens(page_text)
-                edges.update((of, "word", t, 0) for t in tokens if t not in index and tree.printed(t))
-                spoken += tokens
-                spoken += [""] * WINDOW
-            ids = np.array([index.get(t, -1) for t in spoken], np.int64)
-            for gap in range(1, WINDOW + 1):
-                a, b = ids[:-gap], ids[gap:]
-                both = (a >= 0) & (b >= 0)
-                pairs += np.bincount(a[both] * many + b[both], minlength=many * many)
-            rows = [(*k, n) for k, n in edges.items()]
-            if rows:
-                yield pd.DataFrame(rows, columns=["source", "what", "line", "number", "count"])
-        at = np.flatnonzero(pairs)
-        if len(at):
-            yield pd.DataFrame({"source": None, "what": "pair", "line": "", "number": at, "count": pairs[at]}).astype({"source": "Int64"})
-
-    surveyed = given.select("source", "page", "text").mapInPandas(survey, "source long, what string, line string, number long, count long")
-    counts = cut(surveyed.groupBy("source", "what", "line", "number").agg(F.sum("count").alias("count")))
-    seen = counts.where("what = 'pair'").select("number", "count").toPandas()  # at most one row for two words of the vocabulary
-    pairs = pd.DataFrame({"word": seen["number"] // max(size, 1), "context": seen["number"] % max(size, 1), "pairs": seen["count"]})
-    both = pd.concat([pairs, pairs.rename(columns={"word": "context", "context": "word"})]).groupby(["word", "context"], as_index=False)["pairs"].sum()
-    u, v = skip_gram(both, max(size, 1))
-    often = np.log1p(np.bincount(both["word"], weights=both["pairs"], minlength=max(size, 1))).astype(np.float32)
-    shared = spark.sparkContext.broadcast((u, v, often))
-
+    said = cut(_survey(given, tree, kind))
+    of_source = said.where("what IN ('pages', 'title', 'offset')").groupBy("source", "what", "line", "number").agg(F.sum("count").alias("count"))
+    counts = cut(of_source)
     per_source = counts.where("what = 'pages'").select("source", F.col("count").alias("pages"))
     offsets = counts.where("what = 'offset'").groupBy("source").agg(F.max_by("number", F.struct("count", -F.abs("number"))).alias("offset"), F.max("count").alias("numbered"))
     scanned = per_source.join(offsets, "source").where((F.col("numbered") >= NUMBERED_LEAST) & (F.col("numbered") >= NUMBERED_SHARE * F.col("pages")))
     titles = counts.where("what = 'title'").join(per_source, "source").where((F.col("count") >= TITLE_LEAST) & (F.col("count") >= TITLE_SHARE * F.col("pages")))
     titles = titles.groupBy("source").agg(F.sort_array(F.collect_list("line")).alias("titles"))  # bounded by the share
-    clean = counts.where("what = 'word'").join(scanned.select("source"), "source", "left_anti").groupBy("line").agg(F.sum("count").alias("count"))
-    every = float(both["pairs"].sum()) / WINDOW
-    own = frozenset(r["line"] for r in clean.where(F.col("count") >= max(OWN_LEAST, OWN_SHARE * every)).collect())  # bounded by the share
-    owned = spark.sparkContext.broadcast(own)
-    about = scanned.join(titles, "source", "left").select("source", "offset", F.array_join(F.coalesce("titles", F.array()), "\n").alias("titles"))
+    about = cut(scanned.join(titles, "source", "left").select("source", "offset", F.array_join(F.coalesce("titles", F.array()), "\n").alias("titles")))
+
+    pairs = said.where("what = 'pair'").groupBy(F.col("number").cast("int").alias("word"), F.col("context").cast("int").alias("context")).agg(F.sum("count").alias("pairs"))
+    u, v, often = skipgram.train(cut(skipgram.bags(pairs, "word")), size)
+    vectors = spark.sparkContext.broadcast((u, v, often))
+    shared = spark.sparkContext.broadcast((u.astype(np.float32), v.astype(np.float32), np.log1p(often).astype(np.float32)))
+
+    # words that occur where nothing was scanned are words of their own; the others are linked
+    of_page = said.where("what = 'word'").select("id", "source", F.col("line").alias("word"), "count")
+    clean = _beside(of_page, about.select("source"), "left_anti").groupBy("word").agg(F.sum("count").alias("count"))
+    own = clean.where(F.col("count") >= max(OWN_LEAST, OWN_SHARE * float(often.sum()) / (2 * WINDOW)))
+    seen = _beside(of_page, about.select("source"), "left_semi").select("id", "word")
+    rare = seen.select("word").distinct().join(own.select("word"), "word", "left_anti")
+    near = said.where("what = 'near'").groupBy(F.col("line").alias("word"), "context").agg(F.sum("count").alias("count"))
+    links = cut(_links(rare, near, tree, vectors))
+    linked = seen.join(links, "word").groupBy("id").agg(F.collect_list(F.struct("word", "printed")).alias("links"))  # bounded by the page
 
     def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree = _tree(vocabulary)
+        words = tree.value
         for batch in batches:
             found, repaired = [], []
-            for row in batch.itertuples():
-                if row.offset is None or row.offset != row.offset:
-                    found.append([])
-                    repaired.append(row.text)
-                    continue
-                number = None if row.page is None or row.page != row.page else int(row.page)
-                read = Page(row.text, number, int(row.offset), frozenset((row.titles or "").split("\n")) - {""}, tree, shared.value, owned.value)
+            for number, page_text, offset, titles, links in zip(batch["page"], batch["text"], batch["offset"], batch["titles"], batch["links"], strict=True):
+                number = None if number is None or number != number else int(number)
+                own = {x["word"]: {p["to"]: (p["edits"], p["likeness"]) for p in x["printed"]} for x in links} if links is not None else {}
+                read = Page(page_text, number, int(offset), frozenset((titles or "").split("\n")) - {""}, words, shared.value, own)
                 found.append([{"line_no": i, "kind": k, "repaired": w} for i, k, w in dict.fromkeys(read.found)])
                 repaired.append(read.text())
-            yield pd.DataFrame({"id": batch["id"], "scanned": batch["offset"].notna(), "found": found, "repaired": repaired})
+            yield pd.DataFrame({"id": batch["id"], "scanned": True, "found": found, "repaired": repaired})
 
-    kind = pages.schema[key].dataType.simpleString()
     schema = f"id {kind}, scanned boolean, found array<struct<line_no int, kind string, repaired string>>, repaired string"
-    return given.join(about, "source", "left").select("id", "page", "text", "offset", "titles").mapInPandas(repair, schema).withColumnRenamed("id", key)
+    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work
+    papers = _beside(given, about, "inner").repartition(tasks, "id").join(linked.repartition(tasks, "id"), "id", "left").select("id", "page", "text", "offset", "titles", "links")
+    born = _beside(given, about.select("source"), "left_anti")
+    none = F.array().cast("array<struct<line_no int, kind string, repaired string>>")
+    kept = born.select("id", F.lit(False).alias("scanned"), none.alias("found"), F.col("text").alias("repaired"))
+    return papers.mapInPandas(repair, schema).unionByName(kept).withColumnRenamed("id", key)
 
 
 def noise(pages: DataFrame, words: DataFrame, key: str = "chunk_idx") -> DataFrame:
