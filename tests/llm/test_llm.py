@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import canonical, furniture, names, neighbours, packing, scans, splitting, tokenizer, variants
+from corpusloom.llm import canonical, furniture, names, neighbours, packing, scans, skipgram, splitting, tokenizer, variants
 from corpusloom.llm.catalogue import ORACLES, QUERIES
 from tests.compare import DATA, connection, rows
 
@@ -80,13 +80,26 @@ def test_metric():
     rng = random.Random(1)
     words = ["".join(rng.choices("abc", k=rng.randint(0, 7))) for _ in range(30)]
     pivots = [w for w in words if w][:12]
-    d = variants.distances(words, pivots)
-    assert all(d[i][j] == names.distance(a, b) for i, a in enumerate(words) for j, b in enumerate(pivots))
+    every = list(itertools.product(words, pivots))
+    d = variants.distances([a for a, _ in every], [b for _, b in every]).tolist()
+    assert d == [names.distance(a, b) for a, b in every]
+    bound = variants._at_least(variants._letters(words), variants._letters(pivots)).ravel().tolist()
+    assert all(low <= true for low, true in zip(bound, d, strict=True))
+    for slack in (0, 2):
+        w, p, far, nearest = variants.placed(words, pivots, slack)
+        of = {a: [names.distance(a, b) for b in pivots] for a in words}
+        assert {(words[i], int(j)) for i, j in zip(w, p, strict=True)} == {(a, j) for a in words for j, x in enumerate(of[a]) if x <= min(of[a]) + slack}
+        assert nearest.sum() == len(words) and all(of[words[i]][j] == x for i, j, x in zip(w, p, far, strict=True))
     assert all(names.near(a, b) == (names.distance(a, b) <= 1) for a in words for b in words)
     assert all(names.distance(a, c) <= names.distance(a, b) + names.distance(b, c) for a, b, c in itertools.product(words[:12], repeat=3))
 
 
-def test_linked_cores_equal_brute_force(spark):
+@pytest.mark.parametrize("cell", [20_000, 40])
+def test_linked_cores_equal_brute_force(spark, monkeypatch, cell):
+    """Also where cells are parted again by pivots of their own."""
+    monkeypatch.setattr(variants, "CELL", cell)
+    monkeypatch.setattr(variants, "CORES_A_PIVOT", 12)
+    monkeypatch.setattr(variants, "PIVOTS", 8)
     rng = random.Random(2)
     roots = ["".join(rng.choices(["kas", "mol", "ten", "vir", "bax", "dun", "gor"], k=4)) for _ in range(60)]
     words = set(roots)
@@ -98,6 +111,34 @@ def test_linked_cores_equal_brute_force(spark):
     assert got == {frozenset(p) for p in itertools.combinations(words, 2) if names.distance(*p) <= 1}
 
 
+def test_things_as_by_comparing_all():
+    """The index of things changes no result of comparing each reading with every thing."""
+
+    def plain(kind, rows, full):
+        order = sorted(range(len(rows)), key=lambda i: (-sum(map(len, rows[i][0])) if kind not in variants.PEOPLE else -variants._fullness(rows[i][0], full), -rows[i][1], rows[i][0]))
+        things, number = [], [0] * len(rows)
+        for i in order:
+            fits = [t for t, held in enumerate(things) if variants._agree(kind, rows[i][0], held, full)]
+            if len(fits) > 1:
+                fits = [t for t in fits if sorted(things[t]) == sorted(rows[i][0])] or fits
+            if len(fits) == 1:
+                number[i] = fits[0]
+            else:
+                number[i] = len(things)
+                things.append(rows[i][0])
+        return number
+
+    rng = random.Random(12)
+    full = {"kate": {"katherine"}, "katherine": {"katherine"}, "jo": {"joseph", "josephine"}, "joseph": {"joseph"}, "josephine": {"josephine"}, "bob": {"robert"}, "robert": {"robert"}}
+    pool = ["institute", "inst", "instituet", "of", "water", "department", "dept", "450", "600", "2", "iw", "wi", "reader", "rdr", "r", "w"]
+    for _ in range(300):
+        people = [([x] if x else [], rng.randint(1, 3)) for x in rng.sample([*full, "k", "j", "r", "b", "", "karl"], rng.randint(1, 9))]
+        assert variants._things("Person", people, full) == plain("Person", people, full)
+        others = list({tuple(rng.choices(pool, k=rng.randint(0, 3))): 0 for _ in range(rng.randint(1, 12))})
+        others = [(list(x), rng.randint(1, 3)) for x in others]
+        assert variants._things("Product", others, full) == plain("Product", others, full)
+
+
 ENTITIES = "entity_id long, name string, canonical_form string, entity_type string, thing string"
 
 
@@ -154,6 +195,52 @@ def test_neighbours_recall(spark, monkeypatch):
     assert sum(len(got.get(i, set()) & set(w)) for i, w in want.items()) / sum(map(len, want.values())) >= 0.9
 
 
+def test_neighbours_split_overfull_leaves(spark, monkeypatch):
+    """Tops fitted on a few vectors only: leaves are split in Spark until none exceeds its bound; one hot leaf's searches go in blocks."""
+    for name, value in {"SAMPLE": 100, "LEAF_DRAWN": 200, "LEAF": 40, "MOST": 60, "LEAF_SAMPLE": 8, "SEARCHES": 100, "BLOCK": 30, "AT_ONCE": 128}.items():
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 16))
+    items = [(int(i), (centres[i % 60] + rng.normal(scale=0.15, size=16)).tolist()) for i in range(3000)]
+    frame = spark.createDataFrame([(i, v, "x", 1) for i, v in items], VECTORS)
+    heads = neighbours.unit_vectors(frame, "idx", "embedding").withColumnRenamed("id", "head")
+    forest, counts = neighbours.fit_forest(heads, 16, 3000)
+    assert max(filed for filed, _ in counts.values()) <= 60 and sum(filed for filed, _ in counts.values()) == 3 * 3000
+    assert len(forest.offset) > 3 * 2 * 3000 / 60
+    want = brute([(i, np.float32(v).tolist()) for i, v in items], 5, -1.0)
+    got = {}
+    for r in neighbours.nearest(frame, "idx", "embedding", visits=8).collect():
+        got.setdefault(r.id, set()).add(r.other)
+    assert sum(len(got.get(i, set()) & set(w)) for i, w in want.items()) / sum(map(len, want.values())) >= 0.9
+    monkeypatch.setattr(neighbours, "FOREST_BYTES", 0)  # no room for splits: overfull leaves are taken in blocks, whole
+    again = {}
+    for r in neighbours.nearest(frame, "idx", "embedding", visits=8).collect():
+        again.setdefault(r.id, set()).add(r.other)
+    assert sum(len(again.get(i, set()) & set(w)) for i, w in want.items()) / sum(map(len, want.values())) >= 0.95
+
+
+def test_neighbours_visit_the_cheapest_leaves():
+    """The shared queue finds the leaves of the least worst margin over all trees."""
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(4000, 8)).astype(np.float32)
+    forest = neighbours.Forest(8)
+    for _ in range(2):
+        forest.plant(neighbours.grow(points, 20.0, rng, 2048, 24))
+
+    def walk(node, vector, cost):
+        if forest.left[node] < 0:
+            return [(cost, node)]
+        margin = float(vector @ forest.normal[node] - forest.offset[node])
+        near, far = (forest.right, forest.left) if margin > 0 else (forest.left, forest.right)
+        return walk(near[node], vector, cost) + walk(far[node], vector, max(cost, abs(margin)))
+
+    leaves, own = forest.visits(points[:50], 6)
+    assert own.sum() == 100
+    for vector, found in zip(points[:50], leaves, strict=True):
+        costs = {int(n): c for root in forest.roots for c, n in walk(root, vector, -1.0)}
+        assert np.allclose(sorted(costs[n] for n in found.tolist()), sorted(costs.values())[:6], atol=1e-5)
+
+
 def test_neighbours_dirty_and_copies(spark):
     base = [1.0, 2.0, 0.0]
     data = [(i, [x * (1 + i % 3) for x in base]) for i in range(9)]  # copies, some scaled
@@ -178,12 +265,46 @@ def test_glyph_edits():
     assert tree.printed("becouse") == {"because": 1} and tree.printed("zebra") == {}
 
 
-def test_skip_gram_tells_contexts_apart():
-    import pandas as pd
+def test_skip_gram_tells_contexts_apart(spark, monkeypatch):
+    pairs = [(0, 2, 90), (0, 3, 1), (1, 3, 90), (1, 2, 1), (2, 0, 90), (3, 1, 90), (2, 1, 1), (3, 0, 1)]
+    bags = skipgram.bags(spark.createDataFrame(pairs, "word int, context int, pairs long"), "word")
+    for drawn in (1024, 3):  # all contexts against a word, or some that are drawn
+        monkeypatch.setattr(skipgram, "DRAWN", drawn)
+        u, v, often = skipgram.train(bags, 5)
+        assert u[0] @ v[2] > u[0] @ v[3] and u[1] @ v[3] > u[1] @ v[2] and often.tolist() == [91, 91, 91, 91, 0]
+
+
+def test_tree_over_many_words():
+    rng = random.Random(9)
+    words = {"".join(rng.choices("abdelmnorstu", k=rng.randint(3, 9))): "en" for _ in range(100_000)} | dict(WORDS)
+    tree = scans.Words(words)
+    assert all(tree.printed(w)[w] == 0 for w in list(words)[:500])
+    assert tree.printed("nurnber")["number"] == 1 and tree.printed("measurernerit")["measurement"] == 2
+
 
-    pairs = pd.DataFrame([(0, 2, 90), (0, 3, 1), (1, 3, 90), (1, 2, 1), (2, 0, 90), (3, 1, 90), (2, 1, 1), (3, 0, 1)], columns=["word", "context", "pairs"])
-    u, v = scans.skip_gram(pairs, 4)
-    assert u[0] @ v[2] > u[0] @ v[3] and u[1] @ v[3] > u[1] @ v[2]
+def test_vectors_decide_between_words(spark, monkeypatch):
+    """Two words are as near by glyphs; which was printed only the words around it, and those of its other places, can tell."""
+    words = [(w, "en") for w in ("bat", "hat", "cave", "night", "wings", "flew", "wool", "head", "brim", "felt")]
+    rng = random.Random(11)
+    wild, worn = ["cave", "night", "wings", "flew"], ["wool", "head", "brim", "felt"]
+
+    def line(word, around):
+        return f"{' '.join(rng.sample(around, 3))} {word} {' '.join(rng.sample(around, 3))}"
+
+    pages = [(n, "born.pdf", n, "\n".join(line("bat", wild) if rng.random() < 0.5 else line("hat", worn) for _ in range(6))) for n in range(1, 60)]
+    for n in range(1, 13):
+        around = wild if n % 2 else worn
+        pages.append((100 + n, "scan.pdf", n, f"PAGES OF A BOOK\n{line('cave' if n % 2 else 'wool', around)}\n{line('8at', around)}\n- {n} -"))
+    frame = spark.createDataFrame(pages, "chunk_idx long, source string, page int, text string")
+    given = spark.createDataFrame(words, "word string, lang string")
+
+    def read():
+        return {(r.chunk_idx, r.repaired) for r in scans.noise(frame, given).where("kind = 'misread'").collect()}
+
+    want = {(100 + n, "bat" if n % 2 else "hat") for n in range(1, 13)}
+    assert read() == want
+    monkeypatch.setattr(skipgram, "train", lambda own, size, seed=3: (np.zeros((size, 4)), np.zeros((size, 4)), np.zeros(size)))
+    assert len(read() & want) == 6  # without vectors all are taken for one word
 
 
 def test_pages(spark):
