@@ -16,6 +16,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -32,12 +33,16 @@ TOLERANCE = 0.8
 #: Part of the share and least number of documents that make a piece frequent, or a line a leader.
 PIECE_PART, PIECE_LEAST = 0.4, 3
 LEADER_PART, LEADER_LEAST = 0.15, 2
-#: Documents of one source that one task looks at together.
-BATCH = 1500
+#: Documents of one source that one task looks at together, and characters of theirs.
+BATCH, BATCH_CHARACTERS = 1500, 8_000_000
+#: Share of a line that frequent pieces cover if it may be furniture; characters of a short line, of which one such piece is enough.
+COVERED, SHORT = 0.3, 40
 #: Characters of the rolling window; one place in MEAN is a cut.
 WINDOW, MEAN = 4, 8
 #: Characters that a line may vary in whatever its length; more if its fixed words are as many.
 VARYING = 40
+#: Lines in the order of names that a line is held against for what both share.
+BESIDE = 40
 #: Documents that are cut into pieces at a time, so that the arrays stay near the processor.
 AT_ONCE = 500
 #: Characters that are looked at together, however long lines are.
@@ -59,7 +64,8 @@ _NUMBERED = r"0(?:[-/.]0[-/.]0|(?:st|nd|rd|th)? (?:" + _MONTHS.replace(" ", "|")
 _NAMED = r"[a-z]*\.? 0(?:st|nd|rd|th)?,? 0\b"
 _FIGURES = re.compile(r"\d[\d.,:]*(?:k?\b|(?=(?:st|nd|rd|th)\b))")
 _DATE = re.compile(rf"0(?<!\w0){_NUMBERED[1:]}|{_words(_MONTHS, _NAMED)}|" + _words(_DAYS, rf"[a-z]*,? (?:{_NUMBERED}|(?:{_MONTHS.replace(' ', '|')}){_NAMED})"))
-_COUNT = re.compile(_words(_COUNTS, r"\b"))
+# a count follows what is no part of a word, so that only such places are looked at; the first letters part its branches
+_COUNT = re.compile(r"(?<=\W)(?:" + "|".join(f"{c}(?:{'|'.join(sorted((w[1:] for w in own), key=lambda w: (-len(w), w)))})" for c, own in groupby(sorted(_COUNTS.split()), key=lambda w: w[0])) + r")\b")
 _TAG = re.compile(r"</?[a-z][^<>\n]{0,80}>")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#x[0-9a-f]{1,6}|[a-z]\w{1,30});")
 _BLANKS = re.compile(r"  +")
@@ -85,7 +91,7 @@ def plain(texts: list[str | None]) -> list[list[str]]:
     these = [i for i, line in enumerate(flat) if line.count("0") > 1]  # every date has two figures
     for i, line in zip(these, _DATE.sub("0", LINE.join([flat[i] for i in these])).split(LINE), strict=False):
         flat[i] = line
-    done = iter(_COUNT.sub("0", LINE.join(flat)).split(LINE))
+    done = iter(_COUNT.sub("0", LINE + LINE.join(flat))[1:].split(LINE))
     return [[_trimmed(next(done)) for _ in own] for own in lines]
 
 
@@ -205,7 +211,8 @@ def _suspicious_of(rows: pd.DataFrame, frequent: np.ndarray) -> pd.DataFrame:
     known = np.isin(_of_source(hashes, rows["source"].to_numpy()[of_doc[line]]), frequent)
     lengths = np.fromiter(map(len, lines), np.int64, len(lines))
     covered = np.bincount(line, weights=(end - start) * known, minlength=len(lines))
-    want = (covered >= 0.3 * lengths) | (lengths <= 40)
+    # a line is looked at if frequent pieces cover enough of it; a slip leaves little else of a short one
+    want = (covered >= COVERED * lengths) | ((covered > 0) & (lengths <= SHORT))
     forms: dict[int, list[str]] = defaultdict(list)
     at = np.flatnonzero(want[line])
     for n, k, a, b in zip(line[at].tolist(), known[at].tolist(), start[at].tolist(), end[at].tolist(), strict=True):
@@ -259,16 +266,26 @@ def _slips(length: int) -> int:
     return 1 if length < 8 else 2 if length < 40 else max(3, length // 50)
 
 
+def _parted(text: str, many: int) -> list[str]:
+    """``text`` in ``many`` parts; one empty part, which every line holds, if it is too short."""
+    ends = [len(text) * i // many for i in range(many + 1)]
+    return [text[a:b] for a, b in zip(ends, ends[1:], strict=False)] if len(text) >= 2 * many else [""]
+
+
 class Leader:
     """A line that others are held against: fixed words, or fixed words around a part that varies."""
 
     def __init__(self, head: str, tail: str | None = None):
         self.head, self.tail = head, tail
-
         self.varying = max(VARYING, len(head) + len(tail or ""))
+        # of so many parts of the fixed words the slips that are let pass leave one as it is, a swap touching two
+        part, slips = (0.45, _slips(len(head))) if tail is None else (0.7, 2 if len(head) > 12 else 1)
+        self.parts = _parted(head, 2 * slips + 1) + _parted(head[: max(6, int(part * len(head)))], 3)
 
     def matches(self, line: str) -> bool:
         head, tail = self.head, self.tail
+        if not any(part in line for part in self.parts):
+            return False
         if tail is None:
             if _alike(line, head, _slips(len(head))):
                 return True
@@ -350,9 +367,9 @@ def _byline(head: str, tail: str, site: str) -> bool:
 def _varying(lines: dict[str, int], site: str) -> list[Leader]:
     """Leaders with a part that varies, from ``lines`` of a ``site`` that begin alike and the documents that each stands for."""
     frames: Counter[tuple[str, str]] = Counter()
-    these = sorted(lines, key=lambda x: (-lines[x], x))[:40]
-    for i, a in enumerate(these):
-        for b in these[i + 1 :]:
+    these, by_name = sorted(lines, key=lambda x: (-lines[x], x)), sorted(lines)
+    for i, a in enumerate(by_name):
+        for b in by_name[i + 1 : i + 1 + BESIDE]:  # lines with one head lie together
             if not _alike(a, b, 3):
                 frames[_frame(a, b)] += lines[a] + lines[b]
     found: list[Leader] = []
@@ -419,8 +436,9 @@ def repeated_lines(df: DataFrame, key: str, source: str, text: str, share: float
     be unique.  Repeated texts count as often as they come.
     """
     docs = df.select(F.col(key).alias("id"), F.xxhash64(source).alias("source"), F.col(source).alias("site"), F.col(text).alias("text")).where(F.col(source).isNotNull())
-    sizes = docs.groupBy("source").agg(F.count("*").alias("rows"), F.min("site").alias("site"))
-    sizes = cut(sizes.where(F.col("rows") >= least).withColumn("batches", F.ceil(F.col("rows") / BATCH).cast("int")))
+    sizes = docs.groupBy("source").agg(F.count("*").alias("rows"), F.min("site").alias("site"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters"))
+    batches = F.ceil(F.greatest(F.col("rows") / BATCH, F.col("characters") / BATCH_CHARACTERS)).cast("int")
+    sizes = cut(sizes.where(F.col("rows") >= least).select("source", "rows", "site", batches.alias("batches")))
     docs = docs.drop("site").where(F.length("text") > 0)
     counted = docs.select("source", "text").mapInArrow(_count_pieces, "piece long, source long, documents long")
     bound = lambda part, low: F.greatest(F.lit(low), F.ceil(F.col("rows") * share * part))
