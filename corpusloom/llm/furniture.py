@@ -226,8 +226,8 @@ def _suspicious_of(rows: pd.DataFrame, frequent: np.ndarray) -> pd.DataFrame:
         {
             "id": rows["id"].to_numpy()[of_doc[chosen]],
             "line_no": line_no[chosen],
-            "words": [lines[i] for i in chosen],
-            "form": ["".join(forms[i]) if covered[i] else "" for i in chosen],
+            "words": pd.Series([lines[i] for i in chosen], dtype=object),
+            "form": pd.Series(["".join(forms[i]) if covered[i] else "" for i in chosen], dtype=object),
         }
     )
 
@@ -422,7 +422,8 @@ def _lead(forms: pd.DataFrame) -> pd.DataFrame:
         leaders = [x for x in leaders if x.tail is not None or not framed.matches(x.head)] + [framed]
     for row in gaps:
         leaders += [Leader(x) for x in row.lines[:1] if len(x) > 3 and not any(y.matches(x) for y in leaders)]
-    return pd.DataFrame({"source": forms["source"].iloc[0], "leader": range(len(leaders)), "head": [x.head for x in leaders], "tail": [x.tail for x in leaders]})
+    heads, tails = (pd.Series(own, dtype=object) for own in ([x.head for x in leaders], [x.tail for x in leaders]))
+    return pd.DataFrame({"source": forms["source"].iloc[0], "leader": np.arange(len(leaders)), "head": heads, "tail": tails})
 
 
 def repeated_lines(df: DataFrame, key: str, source: str, text: str, share: float = SHARE, least: int = LEAST) -> DataFrame:
