@@ -49,6 +49,7 @@ AT_ONCE = 500
 CHARACTERS = 1_000_000
 
 LINE, DOCUMENT = "\n", "\x1e"
+ALL = np.iinfo(np.int64).min
 # Months, days of the week, and counts written as words.
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
 _DAYS = "mon tue wed thu fri sat sun"
@@ -65,10 +66,11 @@ _NAMED = r"[a-z]*\.? 0(?:st|nd|rd|th)?,? 0\b"
 _FIGURES = re.compile(r"\d[\d.,:]*(?:k?\b|(?=(?:st|nd|rd|th)\b))")
 _DATE = re.compile(rf"0(?<!\w0){_NUMBERED[1:]}|{_words(_MONTHS, _NAMED)}|" + _words(_DAYS, rf"[a-z]*,? (?:{_NUMBERED}|(?:{_MONTHS.replace(' ', '|')}){_NAMED})"))
 # a count follows what is no part of a word, so that only such places are looked at; the first letters part its branches
-_COUNT = re.compile(r"(?<=\W)(?:" + "|".join(f"{c}(?:{'|'.join(sorted((w[1:] for w in own), key=lambda w: (-len(w), w)))})" for c, own in groupby(sorted(_COUNTS.split()), key=lambda w: w[0])) + r")\b")
+_COUNT = re.compile(r"([^a-z0-9_])(?:" + "|".join(f"{c}(?:{'|'.join(sorted((w[1:] for w in own), key=lambda w: (-len(w), w)))})" for c, own in groupby(sorted(_COUNTS.split()), key=lambda w: w[0])) + r")\b")
 _TAG = re.compile(r"</?[a-z][^<>\n]{0,80}>")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#x[0-9a-f]{1,6}|[a-z]\w{1,30});")
 _BLANKS = re.compile(r"  +")
+_MARKS = "".join(c for c in map(chr, range(0x2200)) if not c.isalnum())
 _SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in "\n "]
 # Words that mark a line as naming its author, who is then no variable part, where
 # they stand next to the name: before it (but for a shared first name), or in the role behind it.
@@ -91,7 +93,8 @@ def plain(texts: list[str | None]) -> list[list[str]]:
     these = [i for i, line in enumerate(flat) if line.count("0") > 1]  # every date has two figures
     for i, line in zip(these, _DATE.sub("0", LINE.join([flat[i] for i in these])).split(LINE), strict=False):
         flat[i] = line
-    done = iter(_COUNT.sub("0", LINE + LINE.join(flat))[1:].split(LINE))
+    # other letters than those of ASCII come up as what goes before, and are no place where a word begins
+    done = iter(_COUNT.sub(lambda m: m[0] if m[1].isalnum() else m[1] + "0", LINE + LINE.join(flat))[1:].split(LINE))
     return [[_trimmed(next(done)) for _ in own] for own in lines]
 
 
@@ -108,6 +111,7 @@ def _even(short: str) -> str:
 
 def _trimmed(line: str) -> str:
     """``line`` without anything but letters and figures at its ends."""
+    line = line.strip(_MARKS)
     if not line or line[0].isalnum() and line[-1].isalnum():
         return line
     start, end = 0, len(line)
@@ -169,14 +173,16 @@ def _of_source(hashes: np.ndarray, source: np.ndarray) -> np.ndarray:
 
 
 def _count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(source, piece, documents) as counted within one task."""
+    """(source, piece, documents) as counted within one task; the piece ALL counts a source's characters."""
     held: list[np.ndarray] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
         both = np.concatenate(held, axis=1) if held else np.zeros((2, 0), np.int64)
-        piece, first, many = np.unique(both[0], return_index=True, return_counts=True)
-        return pa.RecordBatch.from_pydict({"piece": piece, "source": both[1][first], "documents": pa.array(many, pa.int64())})
+        code, piece = pd.factorize(both[0])
+        of = np.zeros(len(piece), np.int64)
+        of[code] = both[1]
+        return pa.RecordBatch.from_pydict({"piece": piece.astype(np.int64), "source": of, "documents": np.bincount(code, minlength=len(piece)).astype(np.int64)})
 
     for batch in batches:
         source = batch.column("source").to_numpy(zero_copy_only=False)
@@ -184,10 +190,13 @@ def _count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for start in range(0, len(every), AT_ONCE):
             texts = plain(every[start : start + AT_ONCE])
             document, _, _, _, hashes = pieces("".join(LINE.join(own) + DOCUMENT for own in texts))
-            _, first = np.unique(_of_source(hashes, document), return_index=True)  # a piece counts once a document
+            first = np.flatnonzero(~pd.Series(_of_source(hashes, document)).duplicated().to_numpy())  # a piece counts once a document
             of = source[start + document[first]]
             held.append(np.stack([_of_source(hashes[first], of), of]))
             size += len(first)
+        code, own = pd.factorize(source)
+        characters = np.bincount(code, weights=[len(t) for t in every]).astype(np.int64)
+        yield pa.RecordBatch.from_pydict({"piece": np.full(len(own), ALL), "source": own.astype(np.int64), "documents": characters})
         if size > 2_000_000:
             yield flush()
             held, size = [], 0
@@ -195,7 +204,7 @@ def _count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _suspicious(rows: pd.DataFrame, frequent: np.ndarray) -> pd.DataFrame:
-    """Lines that may be furniture: (id, line_no, words, form), where form has the frequent pieces only."""
+    """Lines that may be furniture: (id, line_no, words, form, gaps), where form tells the frequent pieces in a row, and gaps whether there are others."""
     block = rows["text"].str.len().cumsum().to_numpy() // CHARACTERS
     return pd.concat([_suspicious_of(own, frequent) for _, own in rows.groupby(block)], ignore_index=True)
 
@@ -208,30 +217,37 @@ def _suspicious_of(rows: pd.DataFrame, frequent: np.ndarray) -> pd.DataFrame:
     line_no = np.fromiter((i for own in filled for i, _ in own), np.int32, len(lines))
     joined = LINE.join([*lines, ""])
     _, line, start, end, hashes = pieces(joined)
-    known = np.isin(_of_source(hashes, rows["source"].to_numpy()[of_doc[line]]), frequent)
+    known = pd.Series(_of_source(hashes, rows["source"].to_numpy()[of_doc[line]])).isin(frequent).to_numpy()
     lengths = np.fromiter(map(len, lines), np.int64, len(lines))
     covered = np.bincount(line, weights=(end - start) * known, minlength=len(lines))
     # a line is looked at if frequent pieces cover enough of it; a slip leaves little else of a short one
     want = (covered >= COVERED * lengths) | ((covered > 0) & (lengths <= SHORT))
-    forms: dict[int, list[str]] = defaultdict(list)
-    at = np.flatnonzero(want[line])
-    for n, k, a, b in zip(line[at].tolist(), known[at].tolist(), start[at].tolist(), end[at].tolist(), strict=True):
-        form = forms[n]
-        if k:
-            form.append(joined[a:b])
-        elif not form or form[-1] != DOCUMENT:
-            form.append(DOCUMENT)
     chosen = np.flatnonzero(want)
+    form, gaps = _forms(line, known, hashes, len(lines))
     return pd.DataFrame(
         {
             "id": rows["id"].to_numpy()[of_doc[chosen]],
             "line_no": line_no[chosen],
             "words": pd.Series([lines[i] for i in chosen], dtype=object),
-            "form": pd.Series(["".join(forms[i]) if covered[i] else "" for i in chosen], dtype=object),
+            "form": form[chosen],
+            "gaps": gaps[chosen],
         }
     )
 
 
+def _forms(line: np.ndarray, known: np.ndarray, hashes: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``many`` lines a hash of its frequent pieces in a row, in which others stand as one gap, and whether there is a gap."""
+    form, gaps = np.zeros(many, _U), np.bincount(line[~known], minlength=many) > 0
+    again = np.append(False, ~known[1:] & ~known[:-1] & (line[1:] == line[:-1]))  # a gap goes on
+    line, parts = line[~again], np.where(known, hashes, _U(1))[~again]
+    if len(line):
+        first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+        place = np.arange(len(line)) - np.repeat(first, np.diff(np.append(first, len(line))))
+        parts = (parts ^ (parts >> _U(31))) * _U(_MIX) * _powers(_BASE, int(place.max()) + 1)[place]
+        form[line[first]] = np.add.reduceat(parts, first)
+    return form.view(np.int64), gaps
+
+
 def _alike(a: str, b: str, most: int) -> bool:
     """Whether at most ``most`` characters were put in, left out, changed or swapped."""
     if abs(len(a) - len(b)) > most:
@@ -403,13 +419,13 @@ def _framed(form: object) -> Leader | None:
 
 def _lead(forms: pd.DataFrame) -> pd.DataFrame:
     """The leaders of one source, from its frequent forms with a few example lines each."""
-    forms = forms.sort_values(["documents", "form"], ascending=[False, True])
+    forms = forms.sort_values(["documents", "low", "form"], ascending=[False, True, True])
     openings: dict[str, dict[str, int]] = defaultdict(dict)
     for row in forms.itertuples():
         for line in row.lines:
             openings[" ".join(line.split()[:2])].setdefault(line, row.documents)
     leaders = [x for opening in sorted(openings) for x in _varying(openings[opening], forms["site"].iloc[0])]
-    whole = [DOCUMENT not in form for form in forms["form"]]
+    whole = (~forms["gaps"]).tolist()
     rows = list(forms.itertuples())
     for row in (x for x, w in zip(rows, whole, strict=True) if w):
         leaders += [Leader(x) for x in row.lines if len(x) > 3 and not any(y.matches(x) for y in leaders)]
@@ -437,14 +453,15 @@ def repeated_lines(df: DataFrame, key: str, source: str, text: str, share: float
     be unique.  Repeated texts count as often as they come.
     """
     docs = df.select(F.col(key).alias("id"), F.xxhash64(source).alias("source"), F.col(source).alias("site"), F.col(text).alias("text")).where(F.col(source).isNotNull())
-    sizes = docs.groupBy("source").agg(F.count("*").alias("rows"), F.min("site").alias("site"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters"))
-    batches = F.ceil(F.greatest(F.col("rows") / BATCH, F.col("characters") / BATCH_CHARACTERS)).cast("int")
-    sizes = cut(sizes.where(F.col("rows") >= least).select("source", "rows", "site", batches.alias("batches")))
+    counts = docs.groupBy("source").agg(F.count("*").alias("rows"), F.min("site").alias("site")).where(F.col("rows") >= least)
     docs = docs.drop("site").where(F.length("text") > 0)
     counted = docs.select("source", "text").mapInArrow(_count_pieces, "piece long, source long, documents long")
     bound = lambda part, low: F.greatest(F.lit(low), F.ceil(F.col("rows") * share * part))
-    often = counted.groupBy("piece", "source").agg(F.sum("documents").alias("documents")).where(F.col("documents") >= PIECE_LEAST)
-    often = often.join(sizes, "source").where(F.col("documents") >= bound(PIECE_PART, PIECE_LEAST))
+    many = counted.groupBy("piece", "source").agg(F.sum("documents").alias("documents")).where((F.col("documents") >= PIECE_LEAST) | (F.col("piece") == ALL))
+    often = cut(many.join(counts, "source").where((F.col("piece") == ALL) | (F.col("documents") >= bound(PIECE_PART, PIECE_LEAST))))
+    batches = F.ceil(F.greatest(F.col("rows") / BATCH, F.col("documents") / BATCH_CHARACTERS)).cast("int")
+    sizes = cut(often.where(F.col("piece") == ALL).select("source", "rows", "site", batches.alias("batches")))
+    often = often.where(F.col("piece") != ALL).select("source", "piece").join(sizes.select("source", "batches"), "source")
 
     def each_batch(frame: DataFrame) -> DataFrame:
         return frame.withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1)))
@@ -454,20 +471,20 @@ def repeated_lines(df: DataFrame, key: str, source: str, text: str, share: float
 
     def look(keys: tuple, rows: pd.DataFrame, frequent: pd.DataFrame) -> pd.DataFrame:
         if rows.empty:
-            return pd.DataFrame({"source": [], "id": [], "line_no": [], "words": [], "form": []})
+            return pd.DataFrame({"source": [], "id": [], "line_no": [], "words": pd.Series([], dtype=object), "form": [], "gaps": []})
         return _suspicious(rows, frequent["piece"].to_numpy()).assign(source=keys[0])
 
     rows = own_batch(docs.join(sizes, "source")).select("source", "batch", "id", "text")
     kind = df.schema[key].dataType.simpleString()
     frequent = each_batch(often).select("source", "batch", "piece")
     suspicious = cut(
-        rows.groupBy("source", "batch").cogroup(frequent.groupBy("source", "batch")).applyInPandas(look, f"source long, id {kind}, line_no int, words string, form string")
+        rows.groupBy("source", "batch").cogroup(frequent.groupBy("source", "batch")).applyInPandas(look, f"source long, id {kind}, line_no int, words string, form long, gaps boolean")
     )
 
     examples = F.array_distinct(F.array(*(F.min_by("words", F.xxhash64("words", F.lit(i))) for i in range(6))))
     back = F.reverse("words")
     frame = [F.min("words").alias("low"), F.max("words").alias("high"), F.min(back).alias("back_low"), F.max(back).alias("back_high"), F.min(F.length("words")).alias("shortest"), F.avg(F.length("words")).alias("typical")]
-    forms = suspicious.where("form <> ''").groupBy("source", "form").agg(F.count("*").alias("documents"), examples.alias("lines"), *frame)
+    forms = suspicious.groupBy("source", "form", "gaps").agg(F.count("*").alias("documents"), examples.alias("lines"), *frame)
     forms = forms.where(F.col("documents") >= LEADER_LEAST).join(sizes, "source").where(F.col("documents") >= bound(LEADER_PART, LEADER_LEAST))
     tasks = 3 * df.sparkSession.sparkContext.defaultParallelism  # few bytes, much work
     leaders = cut(forms.drop("rows", "batches").repartition(tasks, "source").groupBy("source").applyInPandas(_lead, "source long, leader int, head string, tail string"))
