@@ -57,16 +57,17 @@ _COUNTS = "no one two three four five six seven eight nine ten eleven twelve thi
 
 
 def _words(words: str, behind: str) -> str:
-    """Any of ``words`` at its start, then ``behind``, as branches that begin with a letter, which are searched fast."""
-    return "|".join(rf"{w[0]}(?<!\w{w[0]}){w[1:]}{behind}" for w in sorted(words.split(), key=lambda w: (w[0], -len(w))))
+    """Any of ``words``, then ``behind``, as branches by first letter."""
+    by_letter = groupby(sorted(words.split()), key=lambda w: w[0])
+    return "|".join(f"{c}(?:{'|'.join(sorted((w[1:] for w in own), key=lambda w: (-len(w), w)))}){behind}" for c, own in by_letter)
 
 
 _NUMBERED = r"0(?:[-/.]0[-/.]0|(?:st|nd|rd|th)? (?:" + _MONTHS.replace(" ", "|") + r")[a-z]*\.?,? 0)\b"
 _NAMED = r"[a-z]*\.? 0(?:st|nd|rd|th)?,? 0\b"
 _FIGURES = re.compile(r"\d[\d.,:]*(?:k?\b|(?=(?:st|nd|rd|th)\b))")
-_DATE = re.compile(rf"0(?<!\w0){_NUMBERED[1:]}|{_words(_MONTHS, _NAMED)}|" + _words(_DAYS, rf"[a-z]*,? (?:{_NUMBERED}|(?:{_MONTHS.replace(' ', '|')}){_NAMED})"))
-# a count follows what is no part of a word, so that only such places are looked at; the first letters part its branches
-_COUNT = re.compile(r"([^a-z0-9_])(?:" + "|".join(f"{c}(?:{'|'.join(sorted((w[1:] for w in own), key=lambda w: (-len(w), w)))})" for c, own in groupby(sorted(_COUNTS.split()), key=lambda w: w[0])) + r")\b")
+# dates and counts in words follow what is no part of a word, so that only such places are looked at
+_DATE = re.compile(rf"([^a-z0-9_])(?:{_NUMBERED}|{_words(_MONTHS, _NAMED)}|" + _words(_DAYS, rf"[a-z]*,? (?:{_NUMBERED}|(?:{_MONTHS.replace(' ', '|')}){_NAMED})") + ")")
+_COUNT = re.compile(rf"([^a-z0-9_])(?:{_words(_COUNTS, '')})\b")
 _TAG = re.compile(r"</?[a-z][^<>\n]{0,80}>")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#x[0-9a-f]{1,6}|[a-z]\w{1,30});")
 _BLANKS = re.compile(r"  +")
@@ -91,13 +92,17 @@ def plain(texts: list[str | None]) -> list[list[str]]:
             flat[i] = line
     flat = _even(LINE.join(flat)).split(LINE)
     these = [i for i, line in enumerate(flat) if line.count("0") > 1]  # every date has two figures
-    for i, line in zip(these, _DATE.sub("0", LINE.join([flat[i] for i in these])).split(LINE), strict=False):
+    for i, line in zip(these, _evened(_DATE, [flat[i] for i in these]), strict=False):
         flat[i] = line
-    # other letters than those of ASCII come up as what goes before, and are no place where a word begins
-    done = iter(_COUNT.sub(lambda m: m[0] if m[1].isalnum() else m[1] + "0", LINE + LINE.join(flat))[1:].split(LINE))
+    done = iter(_evened(_COUNT, flat))
     return [[_trimmed(next(done)) for _ in own] for own in lines]
 
 
+def _evened(pattern: re.Pattern, lines: list[str]) -> list[str]:
+    """``lines`` with 0 for what a ``pattern`` finds; letters beyond ASCII come up as what goes before, but no word begins after one."""
+    return pattern.sub(lambda m: m[0] if m[1].isalnum() else m[1] + "0", LINE + LINE.join(lines))[1:].split(LINE)
+
+
 def _even(short: str) -> str:
     """Lines without markup, with single blanks, and with figures all alike."""
     if "<" in short:
@@ -484,10 +489,12 @@ def repeated_lines(df: DataFrame, key: str, source: str, text: str, share: float
     examples = F.array_distinct(F.array(*(F.min_by("words", F.xxhash64("words", F.lit(i))) for i in range(6))))
     back = F.reverse("words")
     frame = [F.min("words").alias("low"), F.max("words").alias("high"), F.min(back).alias("back_low"), F.max(back).alias("back_high"), F.min(F.length("words")).alias("shortest"), F.avg(F.length("words")).alias("typical")]
-    forms = suspicious.groupBy("source", "form", "gaps").agg(F.count("*").alias("documents"), examples.alias("lines"), *frame)
-    forms = forms.where(F.col("documents") >= LEADER_LEAST).join(sizes, "source").where(F.col("documents") >= bound(LEADER_PART, LEADER_LEAST))
+    # frequent forms first, as most forms stand in one line, and what is said of a form's lines is long
+    common = suspicious.groupBy("source", "form").agg(F.count("*").alias("documents")).where(F.col("documents") >= LEADER_LEAST)
+    common = common.join(sizes, "source").where(F.col("documents") >= bound(LEADER_PART, LEADER_LEAST)).select("source", "form", "site")
+    forms = suspicious.join(common, ["source", "form"]).groupBy("source", "form", "gaps", "site").agg(F.count("*").alias("documents"), examples.alias("lines"), *frame)
     tasks = 3 * df.sparkSession.sparkContext.defaultParallelism  # few bytes, much work
-    leaders = cut(forms.drop("rows", "batches").repartition(tasks, "source").groupBy("source").applyInPandas(_lead, "source long, leader int, head string, tail string"))
+    leaders = cut(forms.repartition(tasks, "source").groupBy("source").applyInPandas(_lead, "source long, leader int, head string, tail string"))
 
     def follow(keys: tuple, lines: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("leader")
