@@ -25,12 +25,15 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder.
 
     The folder is the session's ``spark.checkpoint.dir``, which all executors
-    share, so the rows survive the loss of an executor.  Only where a session
-    names none (local tests) a folder of this machine is set.
+    share, so the rows survive the loss of an executor.  A session on one
+    machine that names none (tests) gets a folder of this machine; on a cluster
+    that is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master != "local" and not (context.master or "").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)

@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import strip
+from corpusloom.operators.ordinals import with_ordinal
 
 #: What a parser gives for a file, as JSON.
 DOCUMENT = (
@@ -32,23 +33,25 @@ def stem(path: Column) -> Column:
 
 
 def read_files(spark: SparkSession, paths: list[str], parse: Callable[[str, bytes], str]) -> DataFrame:
-    """(path, document) of files; a file whose parser fails has null and is reported by its absence downstream."""
+    """(path, document, error) of files; a file whose parser fails has a null document and says why in ``error``."""
     wrong = [p for p in paths if not p.lower().endswith(".pdf")]
     if wrong or not paths:
         raise ValueError(f"only .pdf files can be indexed: {wrong}")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            done = []
+            done, errors = [], []
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
                     done.append(parse(path, bytes(content)))
-                except Exception:
+                    errors.append(None)
+                except Exception as e:
                     done.append(None)
-            yield pd.DataFrame({"path": batch["path"], "json": done})
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pd.DataFrame({"path": batch["path"], "json": done, "error": errors}, dtype=object)
 
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInPandas(run, "path string, json string").select("path", F.from_json("json", DOCUMENT).alias("document"))
+    return files.mapInPandas(run, "path string, json string, error string").select("path", F.from_json("json", DOCUMENT).alias("document"), "error")
 
 
 def page_text(page: Column) -> Column:
@@ -85,13 +88,9 @@ def page_chunks(files: DataFrame) -> DataFrame:
 
 
 def numbered(chunks: DataFrame, *order) -> DataFrame:
-    """``chunks`` with chunk_idx from 0 within the whole set, by source and then by ``order``, or else by page and kind.
-
-    Sources are numbered apart from each other and then put one behind the
-    other, so that no task sees more than one source.
-    """
+    """``chunks`` with chunk_idx from 0 within the whole set, by source and then by ``order``, or else by page and kind."""
     order = order or ("page", F.desc("modality"), F.coalesce("image_path", F.lit("")), F.xxhash64("text"))
-    inside = Window.partitionBy("source").orderBy(*order)
-    before = Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)  # one row for each source
-    starts = chunks.groupBy("source").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return chunks.withColumn("_inside", F.row_number().over(inside) - 1).join(starts, "source").withColumn("_idx", F.col("_before") + F.col("_inside")).drop("_before", "_inside", "chunk_idx").withColumnRenamed("_idx", "chunk_idx")
+    if "chunk_idx" not in chunks.columns:
+        return with_ordinal(chunks, "chunk_idx", "source", *order)
+    old = chunks.withColumnRenamed("chunk_idx", "_old")
+    return with_ordinal(old, "chunk_idx", "source", *("_old" if o == "chunk_idx" else o for o in order)).drop("_old")
