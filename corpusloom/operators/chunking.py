@@ -55,28 +55,55 @@ def _carried(buffer: Column, overlap: int) -> Column:
     return F.when(F.length(buffer) > overlap, lstrip(F.right(buffer, F.lit(overlap))))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _folded(said: Column, near: Column | None, target: int, overlap: int, keep_blank: bool) -> Column:
+    """Array of chunk texts: sentences in a row up to ``target`` characters, as long as each is ``near`` the one before it.
+
+    The fold keeps places and sizes; a chunk's text is joined when it ends, and
+    only what it hands on to the next one is carried along.
+    """
+    kind = "struct<out:array<string>,head:string,first:int,at:int,size:int>"
+    none = F.lit(None).cast("string")
+    start = F.struct(F.array().cast("array<string>").alias("out"), none.alias("head"), F.lit(-1).alias("first"), F.lit(0).alias("at"), F.lit(0).alias("size")).cast(kind)
+
+    def text(said: Column, s: Column) -> Column:
+        return F.concat_ws(" ", s["head"], F.array_join(F.slice(said, s["first"] + 1, s["at"] - s["first"]), " "))
+
+    def begun(s: Column, n: Column) -> Column:
+        return F.struct(s["out"].alias("out"), none.alias("head"), s["at"].alias("first"), (s["at"] + 1).alias("at"), n.alias("size")).cast(kind)
+
+    def grown(s: Column, n: Column) -> Column:
+        return F.struct(s["out"].alias("out"), s["head"].alias("head"), s["first"].alias("first"), (s["at"] + 1).alias("at"), (s["size"] + 1 + n).alias("size")).cast(kind)
+
+    def ended(s: Column, done: Column, n: Column) -> Column:
+        carried = _carried(done, overlap)
+        head = carried if keep_blank else F.nullif(carried, F.lit(""))
+        return _bound(head, lambda h: F.struct(F.concat(s["out"], F.array(done)).alias("out"), h.alias("head"), s["at"].alias("first"), (s["at"] + 1).alias("at"), (F.coalesce(F.length(h) + 1, F.lit(0)) + n).alias("size")).cast(kind))
+
+    def chunks(w: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            fits = (s["size"] + 1 + x["n"] <= target) & x["near"]
+            return F.when(s["first"] < 0, begun(s, x["n"])).when(fits, grown(s, x["n"])).otherwise(_bound(text(w["said"], s), lambda done: ended(s, done, x["n"])))
+
+        return F.aggregate(w["steps"], start, step, lambda s: F.when(s["first"] < 0, s["out"]).otherwise(F.concat(s["out"], F.array(text(w["said"], s)))))
+
+    close = near if near is not None else F.transform(said, lambda x: F.lit(True))
+    steps = F.zip_with(said, close, lambda x, c: F.struct(F.length(x).alias("n"), c.alias("near")))
+    return _bound(F.struct(said.alias("said"), steps.alias("steps")), chunks)
+
+
 def size_chunks(chunks: DataFrame, target: int = TARGET_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
     """Chunks of whole sentences up to ``target`` characters, each led by the last ``overlap`` of the one before.
 
     A sentence over the target stays whole, and the part carried over isn't
     counted against the target, as in the pipeline that this follows.
     """
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("open"))
-
-    def step(state: Column, sentence: Column) -> Column:
-        open_ = state["open"]
-        grown = F.concat(open_, F.lit(" "), sentence)
-        fits = F.length(open_) + 1 + F.length(sentence) <= target
-        carried = _carried(open_, overlap)
-        led = F.when(carried.isNotNull(), F.concat(carried, F.lit(" "), sentence)).otherwise(sentence)
-        return (
-            F.when(open_ == "", F.struct(state["out"].alias("out"), sentence.alias("open")))
-            .when(fits, F.struct(state["out"].alias("out"), grown.alias("open")))
-            .otherwise(F.struct(F.concat(state["out"], F.array(open_)).alias("out"), led.alias("open")))
-        )
-
-    done = F.aggregate(split_sentences(F.col("text")), start, step, lambda s: F.when(s["open"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(s["open"]))))
-    return _emit(chunks, _pieces(done))
+    said = _bound(split_sentences(F.col("text")), lambda x: _folded(x, None, target, overlap, True))
+    return _emit(chunks, _pieces(said))
 
 
 def is_title(line: Column) -> Column:
@@ -85,34 +112,40 @@ def is_title(line: Column) -> Column:
     return (F.length(line) <= 140) & (line.endswith(":") | capitals | line.rlike(r"^\d+[.)]" + BLANK + "+.+$"))
 
 
-def section_chunks(chunks: DataFrame, target: int = SECTION_CHARS, keywords: list[str] | None = None) -> DataFrame:
+def section_chunks(chunks: DataFrame, target: int = SECTION_CHARS, keywords: list[str] | None = None, lossless: bool = False) -> DataFrame:
     """One chunk per titled section, cut to ``target`` characters; what lies beyond is lost, as in the original.
 
+    With ``lossless`` a longer section gives several chunks under its title.
     ``tags`` lists the keywords (lower case) in the whole body; without
     keywords it is null.  A title without body gives no chunk.
     """
-    none = F.lit(None).cast("string")
-    kind = "struct<out:array<struct<heading:string,body:string>>,title:string,open:string>"
-    start = F.struct(F.array().cast("array<struct<heading:string,body:string>>").alias("out"), none.alias("title"), F.lit("").alias("open")).cast(kind)
+    lines = F.filter(F.transform(F.split("text", _LINE_ENDS), strip), lambda line: line != "")
+    words = [k.lower() for k in keywords or []]
+    part = "struct<text:string,heading:string,tags:array<string>>"
 
-    def closed(state: Column) -> Column:
-        section = F.struct(state["title"].alias("heading"), state["open"].alias("body"))
-        return F.when(state["open"] == "", state["out"]).otherwise(F.concat(state["out"], F.array(section)))
+    def finished(heading: Column, body: Column) -> Column:
+        held = F.filter(F.array(*map(F.lit, words)), lambda k: F.contains(F.lower(body), k)) if words else F.lit(None)
+        one = lambda start: F.struct(F.substring(body, start, target).alias("text"), heading.alias("heading"), held.cast("array<string>").alias("tags")).cast(part)
+        if not lossless:
+            return F.array(one(1))
+        return F.transform(F.sequence(F.lit(0), ((F.length(body) - 1) / target).cast("int")), lambda k: one(k * target + 1))
 
-    def step(state: Column, line: Column) -> Column:
-        grown = F.when(state["open"] == "", line).otherwise(F.concat(state["open"], F.lit(" "), line))
-        title = F.struct(closed(state).alias("out"), F.regexp_replace(line, ":+$", "").alias("title"), F.lit("").alias("open"))
-        body = F.struct(state["out"].alias("out"), state["title"].alias("title"), grown.alias("open"))
-        return F.when(is_title(line), title.cast(kind)).otherwise(body.cast(kind))
+    def sections(lines: Column) -> Column:
+        """The lines between one title and the next, and those before the first."""
+        places = F.filter(F.transform(lines, lambda line, i: F.when(is_title(line), i)), lambda i: i.isNotNull())
+        ends = F.concat(places, F.array(F.size(lines)))
 
-    lines = F.filter(F.transform(F.split("text", _LINE_ENDS), strip), lambda line: line != "")
-    words = [k.lower() for k in keywords or []]
+        def section(w: Column) -> Column:
+            def one(title: Column, k: Column) -> Column:
+                heading = F.when(title >= 0, F.regexp_replace(F.get(lines, title), ":+$", ""))
+                body = F.array_join(F.slice(lines, title + 2, F.get(w["ends"], k) - title - 1), " ")
+                return _bound(body, lambda b: F.when(b != "", finished(heading, b)).otherwise(F.array().cast(f"array<{part}>")))
+
+            return F.flatten(F.transform(w["starts"], one))
 
-    def finished(section: Column) -> Column:
-        held = F.filter(F.array(*map(F.lit, words)), lambda k: F.contains(F.lower(section["body"]), k)) if words else F.lit(None)
-        return F.struct(F.substring(section["body"], 1, target).alias("text"), section["heading"].alias("heading"), held.cast("array<string>").alias("tags"))
+        return _bound(F.struct(F.concat(F.array(F.lit(-1)), places).alias("starts"), ends.alias("ends")), section)
 
-    return _emit(chunks, F.transform(F.aggregate(lines, start, step, closed), finished))
+    return _emit(chunks, _bound(lines, sections))
 
 
 def semantic_chunks(chunks: DataFrame, encode, target: int = TARGET_CHARS, overlap: int = OVERLAP_CHARS, least: float = SIMILARITY) -> DataFrame:
@@ -123,25 +156,9 @@ def semantic_chunks(chunks: DataFrame, encode, target: int = TARGET_CHARS, overl
     """
     coded = chunks.withColumn("_said", F.when(is_text(), split_sentences(F.col("text"))))
     coded = coded.withColumn("_vectors", encode(F.col("_said")))
-    empty = F.array().cast("array<string>")
     before = lambda i: F.get(F.col("_vectors"), i - 1)
     near = F.transform("_vectors", lambda v, i: F.coalesce(F.round(dot(before(i), v), 9) >= least, F.lit(True)))
-    steps = F.zip_with("_said", near, lambda s, n: F.struct(s.alias("said"), n.alias("near")))
-    start = F.struct(empty.alias("out"), F.lit("").alias("open"))
-
-    def step(state: Column, said: Column) -> Column:
-        open_ = state["open"]
-        fits = (F.length(open_) + 1 + F.length(said["said"]) <= target) & said["near"]
-        carried = _carried(open_, overlap)
-        led = F.when(F.coalesce(carried, F.lit("")) != "", F.concat(carried, F.lit(" "), said["said"])).otherwise(said["said"])
-        return (
-            F.when(open_ == "", F.struct(state["out"].alias("out"), said["said"].alias("open")))
-            .when(fits, F.struct(state["out"].alias("out"), F.concat(open_, F.lit(" "), said["said"]).alias("open")))
-            .otherwise(F.struct(F.concat(state["out"], F.array(open_)).alias("out"), led.alias("open")))
-        )
-
-    done = F.aggregate(steps, start, step, lambda s: F.when(s["open"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(s["open"]))))
-    return _emit(coded, _pieces(done))
+    return _emit(coded, _pieces(_folded(F.col("_said"), near, target, overlap, False)))
 
 
 def chunk(chunks: DataFrame, chunker: str, encode=None, target: int | None = None, overlap: int = OVERLAP_CHARS, keywords: list[str] | None = None) -> DataFrame:
