@@ -15,6 +15,10 @@ class Extraction:
     mode: str = "hybrid"
     entity_types: tuple[str, ...] = ENTITY_TYPES
     min_confidence: float = 0.7
+    enable_coreference: bool = False
+    spacy_model: str = "en_core_web_sm"
+    llm_model: str = "llama-3.3-70b-versatile"
+    enable_llm_refinement: bool = True
 
 
 @dataclass(frozen=True)
@@ -40,9 +44,9 @@ class Pipeline:
 
 
 PRESETS = {
-    "fast": Pipeline(True, Extraction("ner_only", min_confidence=0.8), Retrieval("entity_aware", 1, 0.2, 0.1, False), False),
+    "fast": Pipeline(True, Extraction("ner_only", min_confidence=0.8, enable_llm_refinement=False), Retrieval("entity_aware", 1, 0.2, 0.1, False), False),
     "balanced": Pipeline(True),
-    "comprehensive": Pipeline(True, Extraction(min_confidence=0.6), Retrieval("hybrid", 3, 0.4, 0.3)),
+    "comprehensive": Pipeline(True, Extraction(min_confidence=0.6, enable_coreference=True), Retrieval("hybrid", 3, 0.4, 0.3)),
 }
 
 

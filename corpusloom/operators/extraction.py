@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions import plugins
 from corpusloom.functions.text import squeeze, title_case
 
 # Labels of the recogniser, what they stand for, and the confidences of what is found without a score.
-LABEL_TYPES = {"PERSON": "Person", "ORG": "Organization", "GPE": "Location", "LOC": "Location", "PRODUCT": "Product", "EVENT": "Event", "DATE": "Date", "TIME": "Date", "QUANTITY": "Number", "CARDINAL": "Number", "PERCENT": "Number", "MONEY": "Number"}
+LABEL_TYPES = {
+    "PERSON": "Person", "ORG": "Organization", "GPE": "Location", "LOC": "Location", "DATE": "Date", "TIME": "Date",
+    "CARDINAL": "Number", "QUANTITY": "Number", "PRODUCT": "Product", "EVENT": "Event", "FAC": "Location", "NORP": "Organization",
+}
 TITLE_TYPES = ["Person", "Organization", "Location", "Product", "Event"]
 NER_CONFIDENCE, LLM_CONFIDENCE, IMPLIED_CONFIDENCE, CONTEXT_CHARS, LEAD_CHARS = 0.8, 0.7, 0.6, 50, 100
 #: Patterns of the stand-in recogniser, one for each label; alternatives without groups.
@@ -39,24 +43,20 @@ def context_around(text: Column, start: Column, length: Column) -> Column:
     return F.substring(text, first + 1, start + length + CONTEXT_CHARS - first)
 
 
-def recognise(chunks: DataFrame, patterns: dict[str, str] = PATTERNS, kinds: list[str] | None = None) -> DataFrame:
-    """Mentions found by patterns: (chunk_idx, name, canonical_form, entity_type, confidence, char_pos, context, spacy_label).
+def recognise(chunks: DataFrame, spans=None, kinds: list[str] | None = None) -> DataFrame:
+    """Mentions found by a recogniser: (chunk_idx, name, canonical_form, entity_type, confidence, char_pos, context, spacy_label).
 
-    Each occurrence is a row.  ``char_pos`` counts code points from 0: matches
-    are parted from the text between them, whose lengths add up.
+    ``spans`` is a plug-in (a Column function such as ``plugins.span_model``
+    makes) that maps a text to an array of (first, last, label), code points
+    from 0 with ``last`` excluded; the stand-in goes by PATTERNS.  Texts are
+    read once.  Each occurrence is a row.
     """
-    found = None
-    for label, pattern in patterns.items():
-        hits = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-        between = F.split("text", pattern)
-        rows = chunks.where((F.col("modality") == "text") & F.col("text").rlike(pattern)).select(
-            "chunk_idx", "text", between.alias("_gaps"), hits.alias("_hits"), F.posexplode(hits).alias("_n", "name")
-        )
-        before = lambda column, many: F.aggregate(F.slice(column, 1, many), F.lit(0), lambda s, x: s + F.length(x))
-        rows = rows.withColumn("char_pos", before("_gaps", F.col("_n") + 1) + before("_hits", F.col("_n")))
-        part = rows.select("chunk_idx", "text", "name", "char_pos", F.lit(label).alias("spacy_label"))
-        found = part if found is None else found.unionByName(part)
-    typed = found.withColumn("entity_type", label_type(F.col("spacy_label")))
+    spans = spans or plugins.span_model(plugins.pattern_spans(PATTERNS))
+    texts = chunks.where((F.col("modality") == "text") & (F.length("text") > 0)).select("chunk_idx", "text")
+    found = texts.withColumn("_spans", spans(F.col("text"))).where(F.size("_spans") > 0).select("chunk_idx", "text", F.explode("_spans").alias("s"))
+    length = F.col("s.last") - F.col("s.first")
+    typed = found.select("chunk_idx", "text", F.col("s.first").alias("char_pos"), F.col("s.label").alias("spacy_label"), F.substring(F.col("text"), F.col("s.first") + 1, length).alias("name"))
+    typed = typed.withColumn("entity_type", label_type(F.col("spacy_label")))
     if kinds is not None:
         typed = typed.where(F.col("entity_type").isin(kinds))
     return typed.select(
