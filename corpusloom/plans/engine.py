@@ -40,7 +40,7 @@ class Engine:
 
     def index(self, files: list[str], section: bool = True, docling: bool = True, keywords: list[str] | None = None, target: int = 900, overlap: int = 150, text_model: str = "hash-64") -> dict:
         """Indexes files, unless a data set of them made alike is kept; (dataset_key, cached, counts)."""
-        key = cache.dataset_key(files)
+        key = cache.dataset_key(self.spark, files)
         name = chunker_name(section, docling)
         meta = {"text_model": text_model, "image_caption_model": "none" if self.captioner is None else "given", "target_chars": target, "overlap_chars": overlap, "chunker": name, "images_saved": "figures_only"}
         kept = cache.load(self.spark, self.folder, key)
@@ -59,21 +59,26 @@ class Engine:
         if self.captioner is not None:
             captions = chunks.where("modality = 'image'").select("chunk_idx", plugins.caption_text(self.captioner(F.col("image_path"))).alias("caption"))
             chunks = cut(retrieval.with_captions(chunks, captions))
-        vectors = retrieval.effective_text(chunks).select("chunk_idx", self.encode(F.array("text"))[0].cast("array<float>").alias("embedding"))
-        cache.save(self.folder, key, chunks, vectors, meta, cache.graph_rows(chunks, vectors))
+        texts = retrieval.effective_text(chunks)
+        vectors = cut(texts.select("chunk_idx", self.encode(F.array("text"))[0].cast("array<float>").alias("embedding")))
+        cache.paired(chunks, vectors)
+        cache.save(self.folder, key, chunks, vectors, meta, cache.graph_rows(chunks, vectors), retrieval.lexicon(texts))
 
-    def _hits(self, key: str, query: str, k: int, alpha: float, synonyms: DataFrame | None) -> DataFrame:
+    def _hits(self, key: str, query: str, k: int, alpha: float, synonyms: DataFrame | None, graph_vectors: bool = False) -> DataFrame:
         kept = cache.load(self.spark, self.folder, key)
         if kept is None:
             raise LookupError(f"no data set {key}")
         asked = self.spark.createDataFrame([(0, query)], "query_id int, query string")
         terms = retrieval.query_terms(asked) if synonyms is None else retrieval.expanded_terms(asked, synonyms)
-        vector = asked.select("query_id", self.encode(F.array("query"))[0].alias("vector"))
-        return retrieval.search(kept["chunks"], kept["embeddings"], vector, terms, k, alpha)
-
-    def search(self, key: str, query: str, k: int = 5, alpha: float = 0.6, synonyms: DataFrame | None = None) -> DataFrame:
-        """The best hits as answered to a caller, best first."""
-        return response(self._hits(key, query, k, alpha, synonyms).orderBy("rank"), self.folder)
+        vector = cut(asked.select("query_id", self.encode(F.array("query"))[0].alias("vector")))  # one row
+        terms = cut(terms)
+        known = cache.kept_lexicon(kept, [r["term"] for r in terms.collect()])  # the terms of one query
+        hits = retrieval.graph_hits(kept["graph"], vector, 3 * k) if graph_vectors and "graph" in kept else None
+        return retrieval.search(kept["chunks"], kept["embeddings"], vector, terms, k, alpha, known, hits)
+
+    def search(self, key: str, query: str, k: int = 5, alpha: float = 0.6, synonyms: DataFrame | None = None, graph_vectors: bool = False) -> DataFrame:
+        """The best hits as answered to a caller, best first; with ``graph_vectors`` the graph's vector hits count too."""
+        return response(self._hits(key, query, k, alpha, synonyms, graph_vectors).orderBy("rank"), self.folder)
 
     def prompt(self, key: str, query: str, k: int = 5, alpha: float = 0.6) -> DataFrame:
         """One row with the prompt."""
