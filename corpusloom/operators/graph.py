@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import cut
+
 # Bounds of the traversal.
 MOST_HOPS, MOST_NEIGHBOURS, DEPTH = 3, 50, 3
 
@@ -86,6 +88,14 @@ def edge_list(relations: DataFrame) -> DataFrame:
     return out.unionByName(back.select("edge", F.col("to_form").alias("from_form"), F.col("to_type").alias("from_type"), F.col("from_form").alias("to_form"), F.col("from_type").alias("to_type")))
 
 
+def _onward(ways: DataFrame, edges: DataFrame, last: bool) -> DataFrame:
+    """``ways`` (seed, canonical_form, entity_type, trail) one edge further, none used twice; the trail isn't needed after the ``last``."""
+    step = edges.select(F.col("from_form").alias("canonical_form"), F.col("from_type").alias("entity_type"), "edge", "to_form", "to_type")
+    on = ways.join(step, ["canonical_form", "entity_type"]).where(~F.array_contains("trail", F.col("edge")))
+    trail = F.array().cast(ways.schema["trail"].dataType) if last else F.sort_array(F.array_append("trail", F.col("edge")))
+    return on.select("seed", F.col("to_form").alias("canonical_form"), F.col("to_type").alias("entity_type"), trail.alias("trail")).distinct()
+
+
 def khop(seeds: DataFrame, edges: DataFrame, hops: int = 1) -> DataFrame:
     """(seed, canonical_form, entity_type, distance): what is reached from seeds over 1 to ``hops`` edges.
 
@@ -94,21 +104,33 @@ def khop(seeds: DataFrame, edges: DataFrame, hops: int = 1) -> DataFrame:
     hops only what the rule needs is kept: the edges of the way.
     """
     hops = min(max(hops, 1), MOST_HOPS)
-    step = edges.select(F.col("from_form").alias("canonical_form"), F.col("from_type").alias("entity_type"), "edge", "to_form", "to_type")
     ways = seeds.select("seed", "canonical_form", "entity_type", F.array().cast(f"array<{edges.schema['edge'].dataType.simpleString()}>").alias("trail"))
     found = None
     for hop in range(1, hops + 1):
-        ways = ways.join(step, ["canonical_form", "entity_type"]).where(~F.array_contains("trail", F.col("edge")))
-        trail = F.array_append("trail", F.col("edge")) if hop < hops else F.array().cast(f"array<{edges.schema['edge'].dataType.simpleString()}>")
-        ways = ways.select("seed", F.col("to_form").alias("canonical_form"), F.col("to_type").alias("entity_type"), F.sort_array(trail).alias("trail")).distinct()
+        ways = _onward(ways, edges, last=hop == hops)
         here = ways.select("seed", "canonical_form", "entity_type", F.lit(hop).alias("distance"))
         found = here if found is None else found.unionByName(here)
     return found.distinct()
 
 
 def neighbours(seeds: DataFrame, edges: DataFrame, entities: DataFrame, hops: int = 1, most: int = MOST_NEIGHBOURS) -> DataFrame:
-    """The first ``most`` of ``khop`` by distance and importance (null first), with the rank of each."""
-    reached = khop(seeds, edges, hops).join(entities.select("canonical_form", "entity_type", "importance_score"), ["canonical_form", "entity_type"])
+    """The first ``most`` of ``khop`` by distance and importance (null first), with the rank of each.
+
+    As distance ranks first, a seed that has ``most`` neighbours goes no hop
+    further, so that hubs are not expanded for nothing.
+    """
+    hops, kind = min(max(hops, 1), MOST_HOPS), edges.schema["edge"].dataType.simpleString()
+    known = entities.select("canonical_form", "entity_type", "importance_score")
+    ways = seeds.select("seed", "canonical_form", "entity_type", F.array().cast(f"array<{kind}>").alias("trail"))
+    reached = None
+    for hop in range(1, hops + 1):
+        ways = _onward(ways, edges, last=hop == hops)
+        ways = cut(ways) if hop < hops else ways
+        here = ways.select("seed", "canonical_form", "entity_type", F.lit(hop).alias("distance")).distinct().join(known, ["canonical_form", "entity_type"])
+        reached = here if reached is None else reached.unionByName(here)
+        if hop < hops:
+            full = reached.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") >= most).select("seed")
+            ways = ways.join(full, "seed", "left_anti")
     order = Window.partitionBy("seed").orderBy("distance", F.desc_nulls_first("importance_score"), "canonical_form", "entity_type")
     return reached.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
@@ -134,7 +156,8 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, depth: int = DEPTH) -> Da
     seen, arrived = front.select("pair", "at"), None
     for hop in range(1, depth + 1):
         grown = front.join(step, "at").select("pair", F.col("next").alias("at"), F.array_append("path", F.col("next")).alias("path"))
-        front = grown.groupBy("pair", "at").agg(F.min("path").alias("path")).join(seen, ["pair", "at"], "left_anti")
+        # a hop is computed once, for its hits, the next one and what was seen
+        front = cut(grown.groupBy("pair", "at").agg(F.min("path").alias("path")).join(seen, ["pair", "at"], "left_anti"))
         hit = front.join(goal, "pair").where(F.col("at") == F.col("goal")).select("pair", F.lit(hop).alias("distance"), "path")
         arrived = hit if arrived is None else arrived.unionByName(hit)
         front = front.join(hit.select("pair"), "pair", "left_anti")
@@ -182,6 +205,11 @@ def is_triples(texts: DataFrame, key: str) -> DataFrame:
     return cut.select(key, F.element_at("_left", -1).alias("subj"), F.lit("is").alias("pred"), F.col("_right")[0].alias("obj"))
 
 
+def append_triples(triples: DataFrame, subject: Column, predicate: Column, object_: Column, rows: DataFrame) -> DataFrame:
+    """A multigraph (subj, pred, obj) with an edge more for each of ``rows``; equal edges stand side by side."""
+    return triples.select("subj", "pred", "obj").unionByName(rows.select(subject.alias("subj"), predicate.alias("pred"), object_.alias("obj")))
+
+
 def successors(triples: DataFrame) -> DataFrame:
     """(subj, obj): what follows each vertex of a multigraph, each once."""
     return triples.select("subj", "obj").distinct()
