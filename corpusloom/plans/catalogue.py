@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import plugins
 from corpusloom.functions.vectors import usable
 from corpusloom.operators import chunking, extraction, graph, kg_retrieval, prompts, retrieval
+from corpusloom.operators.ordinals import with_ordinal
 from corpusloom.plans import engine, kg_build, oracles
 from corpusloom.session import cut
 from corpusloom.sources import cache
@@ -24,6 +27,12 @@ def query(f):
     return f
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, which all executors share."""
+    cut(spark.range(1))
+    return f"{spark.sparkContext.getCheckpointDir()}/kept-{uuid.uuid4().hex}"
+
+
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -190,6 +199,66 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(_hits(spark, folder).select("rank", "chunk_idx", "score", "sem", "bm25"), "sem", "bm25", "score")
 
 
+@query
+def hybrid_graph_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """Hybrid search in which the vector hits of the graph's store raise the similarity of chunks that they agree with."""
+    stored, asked = table(spark, folder, "graph_rows").select("idx", "source", "page", "embedding"), _example(spark, folder)
+    hits = retrieval.search(table(spark, folder, "chunks"), _vectors(spark, folder), asked, _terms(spark), hits=retrieval.graph_hits(stored, asked))
+    return _rounded(hits.select("rank", "chunk_idx", "score", "sem", "bm25"), "sem", "bm25", "score")
+
+
+@query
+def hybrid_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """Hybrid search for the stated set of queries, with vectors of the stand-in encoder."""
+    asked, chunks = _batch(spark, folder), table(spark, folder, "chunks")
+    vectors = cut(_texts(spark, folder).select("chunk_idx", plugins.hash_encoder(F.array("text"))[0].alias("embedding")))
+    queries = cut(asked.select("query_id", plugins.hash_encoder(F.array("query"))[0].alias("vector")))
+    return _rounded(retrieval.hybrid_batch(chunks, vectors, queries, retrieval.query_terms(asked)), "sem", "bm25", "score")
+
+
+@query
+def vector_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Similarity of each entity's vector to that of the entities it is tied to."""
+    entities = table(spark, folder, "entities").select("canonical_form", "entity_type", "embedding")
+    ends = [entities.select(F.col("canonical_form").alias(f"{s}_canonical"), F.col("entity_type").alias(f"{s}_type"), F.col("embedding").alias(f"{s}_vector")) for s in ("subj", "obj")]
+    tied = _relations(spark, folder).select("subj_canonical", "subj_type", "obj_canonical", "obj_type").distinct()
+    near = tied.join(ends[0], ["subj_canonical", "subj_type"]).join(ends[1], ["obj_canonical", "obj_type"])
+    sem = F.round(retrieval.cosine(F.col("subj_vector"), F.col("obj_vector")), 6)
+    return near.select("subj_canonical", "subj_type", "obj_canonical", "obj_type", sem.alias("sem"))
+
+
+@query
+def agreeing_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the graph's store that still have the source and page of their chunk."""
+    stored = table(spark, folder, "graph_rows").select(F.col("idx").alias("chunk_idx"), "source", "page", "heading")
+    return retrieval.agreeing(stored, table(spark, folder, "chunks"))
+
+
+@query
+def kept_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Hybrid search on a data set that was saved with its lexicon and loaded again; no text is read to score it."""
+    chunks, vectors, terms = table(spark, folder, "chunks"), _vectors(spark, folder), cut(_terms(spark))
+    at, key = _scratch(spark), "index"
+    known = retrieval.lexicon(retrieval.effective_text(chunks))
+    cache.save(at, key, chunks, vectors, {"chunker": "baseline"}, known=known)
+    kept = cache.load(spark, at, key)
+    lexicon = cache.kept_lexicon(kept, [r["term"] for r in terms.collect()])  # the terms of one query
+    hits = retrieval.search(kept["chunks"], kept["embeddings"], _example(spark, folder), terms, known=lexicon)
+    return _rounded(hits.select("rank", "chunk_idx", "score", "sem", "bm25"), "sem", "bm25", "score")
+
+
+@query
+def kept_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """What a saved data set gives back, by source: chunks, characters and vectors."""
+    chunks, at = table(spark, folder, "chunks"), _scratch(spark)
+    vectors = _vectors(spark, folder)
+    cache.save(at, "tables", chunks, vectors, {"chunker": "baseline"}, cache.graph_rows(chunks, vectors))
+    kept = cache.load(spark, at, "tables")
+    held = kept["graph"].groupBy("source").agg(F.count("*").alias("n_rows"), F.count("embedding").alias("n_vectors"))
+    own = kept["chunks"].groupBy("source").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"), F.count("tags").alias("n_tagged"))
+    return own.join(held, "source", "left").na.fill(0, ["n_rows", "n_vectors"])
+
+
 @query
 def search_response(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(engine.response(_hits(spark, folder), "figures"), "sem", "bm25", "score")
@@ -334,8 +403,7 @@ def related_entities(spark: SparkSession, folder: str) -> DataFrame:
 def shortest_path(spark: SparkSession, folder: str) -> DataFrame:
     """Ways from each seed to the next one."""
     seeds = cut(_seeds(spark, folder))
-    place = F.row_number().over(graph.Window.orderBy("seed"))  # the stated seeds only
-    numbered = seeds.withColumn("n", place)
+    numbered = cut(with_ordinal(seeds, "n", "seed"))
     to = numbered.select((F.col("n") - 1).alias("n"), F.col("canonical_form").alias("to_form"), F.col("entity_type").alias("to_type"))
     pairs = numbered.join(to, "n").select(F.col("seed").alias("pair"), F.col("canonical_form").alias("from_form"), F.col("entity_type").alias("from_type"), "to_form", "to_type")
     return graph.shortest_paths(pairs, cut(_edges(spark, folder)))
@@ -380,6 +448,76 @@ def kg_extract(spark: SparkSession, folder: str) -> DataFrame:
     return kg_build.build(kg_build.extract(table(spark, folder, "chunks")))[0]
 
 
+@query
+def kg_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Entities of the built graph with the vector of their canonical form."""
+    entities = kg_build.build(kg_build.extract(table(spark, folder, "chunks")), encode=plugins.hash_encoder)[0]
+    return entities.select("entity_key", F.transform("embedding", lambda x: F.round(x.cast("double"), 5)).alias("embedding"))
+
+
+def _seen_before(spark: SparkSession, folder: str) -> DataFrame:
+    """Extractions kept of the graph's rows, which are some of the chunks."""
+    rows = table(spark, folder, "graph_rows").where("length(text) > 0")
+    texts = rows.select(F.col("idx").alias("chunk_idx"), "text", F.lit("text").alias("modality"), F.md5("text").alias("text_md5"))
+    texts = cut(texts.groupBy("text_md5").agg(F.min_by(F.struct("chunk_idx", "text", "modality"), "chunk_idx").alias("r")).select("text_md5", "r.*"))
+    found = kg_build.extract(texts)
+    at = f"{_scratch(spark)}/extractions"
+    cache.keep_extractions(cache.encoded_extractions(texts, found.mentions, found.relations), at)
+    return cache.kept_extractions(spark, at)
+
+
+def _no_finds(request):
+    """A model that answers every request with nothing."""
+    return F.when(request.isNotNull(), F.lit('{"entities": [], "relations": []}'))
+
+
+@query
+def extraction_counters(spark: SparkSession, folder: str) -> DataFrame:
+    """Hits and misses of the kept extractions over all chunks, and what a model would have read."""
+    return kg_build.extract_kept(table(spark, folder, "chunks"), _seen_before(spark, folder), answer=_no_finds).counters
+
+
+@query
+def extraction_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Mentions by type over all chunks, of kept extractions and of new ones."""
+    found = kg_build.extract_kept(table(spark, folder, "chunks"), _seen_before(spark, folder)).found
+    return found.mentions.groupBy("entity_type", "canonical_form").agg(F.count("*").alias("n"), F.sum("char_pos").alias("positions"))
+
+
+@query
+def decoded_relations(spark: SparkSession, folder: str) -> DataFrame:
+    """Relations encoded with the mentions of their chunk and decoded again: an end that isn't mentioned there is made up."""
+    relations, mentions = table(spark, folder, "relations"), table(spark, folder, "mentions")
+    texts = relations.select("chunk_idx").distinct().withColumn("text_md5", F.md5(F.col("chunk_idx").cast("string")))
+    kept = cache.encoded_extractions(texts, mentions, relations).join(texts, "text_md5")
+    return cache.decoded_relations(kept)
+
+
+@query
+def export_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Entities and relations written as JSON lines and read again, counted by type and predicate."""
+    at = _scratch(spark)
+    cache.write_export(table(spark, folder, "entities"), table(spark, folder, "relations"), at)
+    entities, relations = cache.read_export(spark, at)
+    sums = [F.count("*").alias("n"), F.count("confidence").alias("n_sure"), F.round(F.sum("confidence"), 6).alias("sure")]
+    return entities.groupBy(F.col("entity_type").alias("kind")).agg(*sums).unionByName(relations.groupBy(F.col("predicate").alias("kind")).agg(*sums))
+
+
+@query
+def triples_appended(spark: SparkSession, folder: str) -> DataFrame:
+    """The multigraph of the relations with the "is" triples of the chunks put to it: parallel edges counted."""
+    stored = table(spark, folder, "relations").select(F.col("subj_canonical").alias("subj"), F.col("predicate").alias("pred"), F.col("obj_canonical").alias("obj"))
+    found = graph.is_triples(table(spark, folder, "chunks"), "chunk_idx")
+    every = graph.append_triples(stored, F.col("subj"), F.col("pred"), F.col("obj"), found)
+    return every.groupBy("subj", "pred", "obj").agg(F.count("*").alias("n"))
+
+
+@query
+def repeated_mentions(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys of mentions that a uniqueness constraint would refuse, as several rows have them."""
+    return kg_build.unique_violations(table(spark, folder, "mentions"), ["chunk_idx", "canonical_form", "entity_type"])
+
+
 # search with the graph
 
 
@@ -451,6 +589,12 @@ def prompt_citation(spark: SparkSession, folder: str) -> DataFrame:
     return prompts.citation_prompt(QUERY, _hits(spark, folder))
 
 
+@query
+def prompt_images(spark: SparkSession, folder: str) -> DataFrame:
+    """The prompt without image links: an image's content is its path."""
+    return prompts.citation_prompt(QUERY, _hits(spark, folder), image_links=False)
+
+
 @query
 def prompt_kg(spark: SparkSession, folder: str) -> DataFrame:
     hits, links, about, around = _context(spark, folder)
@@ -472,6 +616,11 @@ def kg_viz(spark: SparkSession, folder: str) -> DataFrame:
     return prompts.drawn(_context(spark, folder)[3])
 
 
+@query
+def kg_viz_full(spark: SparkSession, folder: str) -> DataFrame:
+    return prompts.drawn(_context(spark, folder)[3], compact=False)
+
+
 # what is kept
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from corpusloom.operators import prompts
-
 BLANK = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: The query that single searches ask, and the keywords of the section chunker.
 QUERY = "How does rainfall change the salinity of the estuary at Northlight Archive ?"
@@ -227,6 +225,18 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+# The wording of the prompts, written out again so that a change of the operators' wording shows.
+_DONT_KNOW = "If something is not in the contexts, say you don't know.\n\n"
+CITATION_WORDING = (
+    "You are a retrieval QA system. Use ONLY the provided contexts to answer.\nFor every factual statement, add an inline citation in the form "
+    "[file:{source}, page:{page}, heading:{heading}] and include image link when available as [image:{image_path}].\n" + _DONT_KNOW
+)
+KG_WORDING = (
+    "You are a retrieval QA system with access to a knowledge graph. Use ONLY the provided contexts, entities, and relationships to answer.\n"
+    "For every factual statement, add an inline citation in the form [file:{source}, page:{page}, heading:{heading}].\n"
+    "When referencing entities, use the format [entity:{entity_name}].\n" + _DONT_KNOW
+)
+QUESTION_WORDING = f"\n### Question\n{QUERY}\n\n### Answer (with citations):\n"
 BLOCK = "'### Context ' || rank || chr(10) || 'Source: file=' || source || ', page=' || page || ', heading=' || CASE WHEN coalesce(heading, '') = '' THEN 'N/A' ELSE heading END || chr(10)"
 IMAGE = "CASE WHEN coalesce(image_path, '') <> '' THEN 'Image: ' || image_path || chr(10) ELSE '' END"
 CONTEXT = f"""
@@ -272,7 +282,105 @@ REPLIES = r"""
         ),
         bad AS (SELECT doc_id, min(seq) AS stop FROM ents WHERE said IS NOT NULL AND try_cast(said AS DOUBLE) IS NULL GROUP BY doc_id)"""
 
+#: The stand-in recogniser's patterns and what their labels stand for.
+NER = [
+    ("ORG", "Organization", r"\b[A-Z][a-z]+ (?:Institute|Department) of [A-Z][a-z]+\b"), ("PERCENT", "Concept", r"\b\d+ percent\b"),
+    ("DATE", "Date", r"\b(?:1[89]|20)\d\d\b"), ("PRODUCT", "Product", r"\b[A-Z][a-z]+ (?:Reader|Scanner|Recorder|Analyser) \d+\b"),
+]
+
+
+def found_spans(texts: str) -> str:
+    """Common table expressions that end in ner (chunk_idx, name, char_pos, spacy_label, entity_type, canonical_form, context)."""
+    hits = " UNION ALL ".join(
+        f"SELECT chunk_idx, text, '{label}' AS spacy_label, '{kind}' AS entity_type, regexp_extract_all(text, '{pattern}') AS hits, regexp_split_to_array(text, '{pattern}') AS gaps FROM spoken"
+        for label, kind, pattern in NER
+    )
+    return f"""
+        spoken AS ({texts}), hit AS ({hits}),
+        each AS (SELECT chunk_idx, text, spacy_label, entity_type, hits[i] AS name, (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda g: length(g))), 0))::INT AS char_pos
+                 FROM (SELECT *, unnest(generate_series(1, len(hits))) AS i FROM hit WHERE len(hits) > 0)),
+        ner AS (SELECT chunk_idx, name, char_pos, spacy_label, entity_type, CASE WHEN entity_type IN ('Organization', 'Product') THEN {TITLED} ELSE lower({SQUEEZED}) END AS canonical_form,
+                       substr(text, greatest(char_pos - 50, 0) + 1, char_pos + length(name) + 50 - greatest(char_pos - 50, 0)) AS context FROM each)"""
+
+
+SPOKEN = "SELECT chunk_idx, text FROM chunks WHERE modality = 'text' AND length(text) > 0"
+RESOLVED = f"""{found_spans(SPOKEN)},
+        merged AS (SELECT * FROM ner QUALIFY row_number() OVER (PARTITION BY chunk_idx, lower(canonical_form), entity_type ORDER BY char_pos DESC, name DESC) = 1),
+        resolved AS (SELECT lower(canonical_form) AS entity_key, canonical_form, entity_type, 0.8e0 AS confidence, count(*) OVER w AS occurrences, count(DISTINCT chunk_idx) OVER w AS n_chunks
+                     FROM merged WINDOW w AS (PARTITION BY lower(canonical_form))
+                     QUALIFY row_number() OVER (PARTITION BY lower(canonical_form) ORDER BY chunk_idx, char_pos, canonical_form, entity_type) = 1)"""
+IS_TRIPLES = """SELECT chunk_idx, l[-1] AS subj, 'is' AS pred, r[1] AS obj FROM (
+            SELECT chunk_idx, list_filter(regexp_split_to_array(p[1], '[\\s\\x{0b}]+'), lambda w: w <> '') AS l, list_filter(regexp_split_to_array(p[2], '[\\s\\x{0b}]+'), lambda w: w <> '') AS r
+            FROM (SELECT chunk_idx, string_split(text, ' is ') AS p FROM chunks WHERE text IS NOT NULL) WHERE len(p) = 2) WHERE len(l) > 0 AND len(r) > 0"""
+HYBRID_SEARCH = f"WITH {HITS} SELECT rank::INT AS rank, chunk_idx, round(score, 6) AS score, round(sem, 6) AS sem, round(bm25, 6) AS bm25 FROM hits"
+DRAWN_FULL = """
+        ends_ AS (SELECT source AS form, source_type AS kind FROM numbered UNION SELECT target, target_type FROM numbered),
+        nodes AS (SELECT string_agg('  - ' || form || ' (' || kind || ')', chr(10) ORDER BY form, kind) AS t FROM (SELECT * FROM ends_ ORDER BY form, kind LIMIT 10)),
+        ties AS (SELECT string_agg('  - ' || source || ' --[' || type || ', ' || printf('%.2f', coalesce(confidence, 0)) || ']-> ' || target, chr(10) ORDER BY o) AS t FROM numbered WHERE o <= 15)
+        SELECT 'Nodes:' || chr(10) || nodes.t || chr(10) || chr(10) || 'Connections:' || chr(10) || ties.t AS text FROM nodes, ties"""
+
 ORACLES = {
+    "ner_mentions": f"WITH {found_spans(SPOKEN)} SELECT chunk_idx, name, canonical_form, entity_type, 0.8e0 AS confidence, char_pos, context, spacy_label FROM ner",
+    "kg_extract": f"WITH {RESOLVED} SELECT *, least(1, occurrences / 10.0e0) AS importance_score FROM resolved WHERE entity_type <> ''",
+    "kg_vectors": f"""WITH {RESOLVED} SELECT entity_key, list_transform(c, lambda x: round((CASE WHEN s = 0 THEN 0 ELSE x / sqrt(s) END)::FLOAT::DOUBLE, 5)) AS embedding
+        FROM (SELECT entity_key, c, list_dot_product(c, c) AS s FROM (SELECT entity_key, {hashed('canonical_form')} AS c FROM resolved))""",
+    "extraction_counters": f"""WITH own AS (SELECT chunk_idx, text, md5(text) AS m FROM chunks WHERE modality = 'text' AND length(text) > 0), kept AS (SELECT DISTINCT md5(text) AS m FROM graph_rows WHERE length(text) > 0),
+        new AS (SELECT min(chunk_idx) AS chunk_idx, any_value(text) AS text FROM own WHERE m NOT IN (SELECT m FROM kept) GROUP BY m), {found_spans('SELECT * FROM new')},
+        reads AS (SELECT new.chunk_idx, count(name) AS n FROM new LEFT JOIN ner USING (chunk_idx) GROUP BY 1)
+        SELECT (SELECT count(*) FROM own WHERE m IN (SELECT m FROM kept)) AS cache_hits, (SELECT count(*) FROM own WHERE m NOT IN (SELECT m FROM kept)) AS cache_misses,
+               (SELECT count(*) FROM reads WHERE n >= 3) AS llm_calls, (SELECT count(*) FROM reads WHERE n < 3) AS llm_skipped""",
+    "extraction_kept": f"""WITH {found_spans(SPOKEN)},
+        merged AS (SELECT * FROM ner QUALIFY row_number() OVER (PARTITION BY chunk_idx, lower(canonical_form), entity_type ORDER BY char_pos DESC, name DESC) = 1)
+        SELECT entity_type, canonical_form, count(*) AS n, sum(char_pos)::BIGINT AS positions FROM merged GROUP BY ALL""",
+    "decoded_relations": """WITH own AS (SELECT chunk_idx, canonical_form, entity_type, confidence FROM mentions
+            QUALIFY row_number() OVER (PARTITION BY chunk_idx, canonical_form, entity_type ORDER BY name DESC NULLS LAST, confidence DESC NULLS LAST, char_pos DESC NULLS LAST) = 1)
+        SELECT r.chunk_idx, subj_canonical, subj_type, predicate, obj_canonical, obj_type, r.confidence, evidence, coalesce(a.confidence, 0.5e0) AS subj_confidence, coalesce(b.confidence, 0.5e0) AS obj_confidence
+        FROM relations r LEFT JOIN own a ON a.chunk_idx = r.chunk_idx AND a.canonical_form = subj_canonical AND a.entity_type = subj_type
+        LEFT JOIN own b ON b.chunk_idx = r.chunk_idx AND b.canonical_form = obj_canonical AND b.entity_type = obj_type""",
+    "export_roundtrip": """SELECT entity_type AS kind, count(*) AS n, count(confidence) AS n_sure, round(sum(confidence), 6) AS sure FROM entities GROUP BY 1
+        UNION ALL SELECT predicate, count(*), count(confidence), round(sum(confidence), 6) FROM relations GROUP BY 1""",
+    "triples_appended": f"""SELECT subj, pred, obj, count(*) AS n FROM (
+            SELECT subj_canonical AS subj, predicate AS pred, obj_canonical AS obj FROM relations UNION ALL SELECT subj, pred, obj FROM ({IS_TRIPLES})) GROUP BY ALL""",
+    "repeated_mentions": "SELECT chunk_idx, canonical_form, entity_type, count(*) AS n FROM mentions GROUP BY ALL HAVING count(*) > 1",
+    "agreeing_rows": "SELECT idx AS chunk_idx, g.source, g.page, g.heading FROM graph_rows g JOIN chunks c ON c.chunk_idx = idx WHERE g.source IS NOT DISTINCT FROM c.source AND g.page IS NOT DISTINCT FROM c.page",
+    "hybrid_graph_hits": f"""WITH {bm25(TEXTS, TERMS)}, semq AS ({EXAMPLE}),
+        near AS (SELECT idx AS chunk_idx, {cosine('embedding', 'v')} AS sem, source, page, {usable('embedding')} AS sound FROM graph_rows, semq),
+        best AS (SELECT chunk_idx, source, page, round((1 + sem) / 2, 9) AS score FROM near WHERE sound ORDER BY score DESC, chunk_idx LIMIT 15),
+        raised AS (SELECT b.chunk_idx, b.score FROM best b JOIN chunks c ON c.chunk_idx = b.chunk_idx AND c.source IS NOT DISTINCT FROM b.source AND c.page IS NOT DISTINCT FROM b.page),
+        both_ AS (SELECT chunk_idx, greatest(coalesce(sem, 0), coalesce(raised.score, -1)) AS sem, coalesce(bm25, 0) AS bm25 FROM chunks LEFT JOIN (SELECT chunk_idx, sem FROM near) USING (chunk_idx) LEFT JOIN bm USING (chunk_idx) LEFT JOIN raised USING (chunk_idx)),
+        scores AS (SELECT chunk_idx, sem, bm25, 0.6e0 * {scaled('sem')} + 0.4e0 * {scaled('bm25')} AS score FROM both_)
+        SELECT (row_number() OVER (ORDER BY score DESC, chunk_idx))::INT AS rank, chunk_idx, round(score, 6) AS score, round(sem, 6) AS sem, round(bm25, 6) AS bm25 FROM scores QUALIFY rank <= 5""",
+    "kept_index": HYBRID_SEARCH,
+    "hybrid_batch": f"""WITH {bm25(TEXTS, BATCH_TERMS)}, asked AS ({BATCH}),
+        coded AS (SELECT chunk_idx, c, sqrt(list_dot_product(c, c)) AS s FROM (SELECT chunk_idx, {hashed('text')} AS c FROM texts)),
+        qcoded AS (SELECT query_id, c, sqrt(list_dot_product(c, c)) AS s FROM (SELECT query_id, {hashed('query')} AS c FROM asked)),
+        every AS (SELECT query_id, chunk_idx, CASE WHEN q.s * d.s = 0 THEN 0 ELSE round(list_dot_product(q.c, d.c) / (q.s * d.s), 9) END AS sem, coalesce(bm25, 0) AS bm25
+                  FROM qcoded q CROSS JOIN coded d LEFT JOIN bm USING (query_id, chunk_idx)),
+        ranges AS (SELECT query_id, min(sem) AS ls, max(sem) AS hs, min(bm25) AS lb, max(bm25) AS hb FROM every GROUP BY query_id),
+        mixed AS (SELECT query_id, chunk_idx, sem, bm25, round(0.6e0 * CASE WHEN hs - ls < 1e-8 THEN 0 ELSE (sem - ls) / (hs - ls) END + 0.4e0 * CASE WHEN hb - lb < 1e-8 THEN 0 ELSE (bm25 - lb) / (hb - lb) END, 9) AS score
+                  FROM every JOIN ranges USING (query_id))
+        SELECT query_id, chunk_idx, round(sem, 6) AS sem, round(bm25, 6) AS bm25, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_idx))::INT AS rank FROM mixed QUALIFY rank <= 5""",
+    "vector_pairs": f"""WITH {EDGES} SELECT DISTINCT subj_canonical, subj_type, obj_canonical, obj_type, round({cosine('s.embedding', 'o.embedding')}, 6) AS sem
+        FROM edges JOIN entities s ON s.canonical_form = subj_canonical AND s.entity_type = subj_type JOIN entities o ON o.canonical_form = obj_canonical AND o.entity_type = obj_type""",
+    "kept_tables": """SELECT c.source, n_chunks, n_chars, n_tagged, coalesce(n_rows, 0) AS n_rows, coalesce(n_vectors, 0) AS n_vectors FROM
+        (SELECT source, count(*) AS n_chunks, sum(length(coalesce(text, '')))::BIGINT AS n_chars, count(tags) AS n_tagged FROM chunks GROUP BY source) c
+        LEFT JOIN (SELECT ch.source, count(*) AS n_rows, count(embedding) AS n_vectors FROM chunks ch JOIN graph_rows g ON g.idx = ch.chunk_idx GROUP BY 1) g USING (source)""",
+    "prompt_images": f"""WITH {HITS} SELECT 'You are a retrieval QA system. Use ONLY the provided contexts to answer.' || chr(10) || 'For every factual statement, add an inline citation in the form [file:{{source}}, page:{{page}}, heading:{{heading}}].' || chr(10)
+            || 'If something is not in the contexts, say you don''t know.' || chr(10) || chr(10)
+            || string_agg({BLOCK} || CASE WHEN modality = 'text' THEN text ELSE coalesce('[Image at ' || image_path || ']', '') END || chr(10), chr(10) ORDER BY rank)
+            || chr(10) || '### Question' || chr(10) || {quoted(QUERY)} || chr(10) || chr(10) || '### Answer (with citations):' || chr(10) AS prompt FROM found""",
+    "prompt_entity": f"""WITH {HITS}, {LINKS}, {EDGES}, {CONTEXT}, {AROUND},
+        five AS (SELECT *, row_number() OVER (ORDER BY place, canonical_form, entity_type) AS n FROM about QUALIFY n <= 5),
+        shown AS (SELECT canonical_form, entity_type, chunk_idx, row_number() OVER (PARTITION BY canonical_form, entity_type ORDER BY chunk_idx) AS k FROM links QUALIFY k <= 3),
+        lines AS (SELECT f.n, f.canonical_form, string_agg(k || '. [' || source || ', p.' || page || ']: ' || substr(coalesce(text, ''), 1, 200) || '...', chr(10) ORDER BY k) AS t
+                  FROM five f JOIN shown USING (canonical_form, entity_type) JOIN chunks USING (chunk_idx) GROUP BY ALL)
+        SELECT 'You are answering a question about specific entities using information from documents.' || chr(10) || 'Provide accurate information with citations.' || chr(10) || chr(10)
+            || concat_ws(chr(10),
+                '### Entities in Question' || chr(10) || chr(10) || (SELECT string_agg('**' || canonical_form || '** (' || entity_type || ')' || CASE WHEN coalesce(description, '') <> '' THEN ': ' || description ELSE '' END, chr(10) ORDER BY n) FROM five) || chr(10),
+                (SELECT '### Known Relationships' || chr(10) || chr(10) || string_agg('- ' || source || ' ' || type || ' ' || target, chr(10) ORDER BY o) || chr(10) FROM numbered WHERE o <= 10),
+                '### Relevant Information' || chr(10) || chr(10) || (SELECT string_agg(chr(10) || '**About ' || canonical_form || ':**' || chr(10) || chr(10) || t, chr(10) ORDER BY n) FROM lines) || chr(10))
+            || '### Question' || chr(10) || {quoted(QUERY)} || chr(10) || chr(10) || '### Answer:' || chr(10) AS prompt""",
+    "kg_viz_full": f"WITH {HITS}, {LINKS}, {EDGES}, {CONTEXT}, {AROUND}, {DRAWN_FULL}",
     "canonicalize": f"""SELECT DISTINCT name, entity_type, CASE WHEN entity_type IN ('Person', 'Organization', 'Location', 'Product', 'Event') THEN {TITLED}
         WHEN entity_type = 'Technical_Term' THEN {SQUEEZED} ELSE lower({SQUEEZED}) END AS canonical FROM mentions""",
     "llm_parse_entities": f"""WITH {REPLIES} SELECT doc_id, seq::INT AS seq, name, canonical_form, entity_type, coalesce(try_cast(said AS DOUBLE), 0.7e0) AS confidence, description
@@ -407,12 +515,12 @@ ORACLES = {
     "kg_graph_guided": f"WITH {SCORES}, {LINKS}, {EDGES}, {ASKED}, {GUIDED} {RESULT}",
     "kg_hybrid": f"WITH {SCORES}, {LINKS}, {EDGES}, {ASKED}, {HYBRID} {RESULT}",
     "kg_context": f"WITH {HITS}, {LINKS}, {CONTEXT} SELECT canonical_form, entity_type, description, confidence, importance, place::INT AS place FROM about",
-    "prompt_citation": f"WITH {HITS} SELECT {quoted(prompts.CITATION_HEAD + prompts.WITH_IMAGE + prompts.UNKNOWN)} || string_agg({BLOCK} || {IMAGE} || coalesce(text, '') || chr(10), chr(10) ORDER BY rank) || {quoted(chr(10) + prompts._question(QUERY))} AS prompt FROM found",
+    "prompt_citation": f"WITH {HITS} SELECT {quoted(CITATION_WORDING)} || string_agg({BLOCK} || {IMAGE} || coalesce(text, '') || chr(10), chr(10) ORDER BY rank) || {quoted(QUESTION_WORDING)} AS prompt FROM found",
     "prompt_kg": f"""WITH {HITS}, {LINKS}, {EDGES}, {CONTEXT}, {AROUND}, {WHO},
         names AS (SELECT chunk_idx, array_to_string(list_sort(list(DISTINCT canonical_form))[:5], ', ') AS ns FROM links GROUP BY chunk_idx),
         ctx AS (SELECT string_agg({BLOCK} || CASE WHEN ns IS NOT NULL THEN 'Entities: ' || ns || chr(10) ELSE '' END || {IMAGE} || coalesce(text, '') || chr(10), chr(10) ORDER BY rank) AS t FROM found LEFT JOIN names USING (chunk_idx)),
         pic AS (SELECT '### Knowledge Graph' || chr(10) || '```' || chr(10) || {DRAWN} || chr(10) || '```' || chr(10) AS t FROM numbered WHERE o <= 10)
-        SELECT {quoted(prompts.KG_HEAD + prompts.UNKNOWN)} || concat_ws(chr(10), (SELECT t FROM who), (SELECT t FROM tied), (SELECT t FROM pic), (SELECT t FROM ctx)) || {quoted(chr(10) + prompts._question(QUERY))} AS prompt""",
+        SELECT {quoted(KG_WORDING)} || concat_ws(chr(10), (SELECT t FROM who), (SELECT t FROM tied), (SELECT t FROM pic), (SELECT t FROM ctx)) || {quoted(QUESTION_WORDING)} AS prompt""",
     "kg_viz": f"WITH {HITS}, {LINKS}, {EDGES}, {CONTEXT}, {AROUND} SELECT {DRAWN} AS text FROM numbered WHERE o <= 10",
     "extraction_cache": """WITH own AS (SELECT chunk_idx, md5(text) AS text_md5 FROM chunks WHERE modality = 'text' AND length(text) > 0)
         SELECT text_md5, count(*) AS n_chunks, min(chunk_idx) AS first_chunk FROM own GROUP BY text_md5 HAVING count(*) > 1""",
