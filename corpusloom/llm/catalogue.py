@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import canonical, furniture, neighbours, packing, scans, splitting, tokenizer, variants
+from corpusloom.session import cut
 from corpusloom.sources.tables import table
 
 
@@ -76,6 +77,19 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(asked.drop("modality"))
 
 
+def p5_covered(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the pieces of each oversized text: they cover it, fit, and share what was asked for."""
+    pieces = p5_pieces(spark, folder)
+    row, size = Window.partitionBy("request_id", "chunk_idx").orderBy("piece_no"), F.greatest(F.coalesce("target_chars", F.lit(splitting.TARGET_CHARS)), F.lit(1))
+    asked = F.greatest(F.coalesce("overlap_chars", F.lit(splitting.OVERLAP_CHARS)), F.lit(0))
+    shared = F.when(asked < size, asked).otherwise((size / 2).cast("int"))
+    before = F.lag("piece_end").over(row)
+    fits = (F.length("piece") <= size) & (F.length("piece") == F.col("piece_end") - F.col("piece_start"))
+    follows = F.when(before.isNull(), F.col("piece_start") == 0).otherwise((F.col("piece_start") == F.greatest(before - shared, F.lit(0))) & (F.col("piece_end") > before))
+    marked = pieces.withColumns({"fits": fits, "follows": follows})
+    return marked.groupBy("request_id", "chunk_idx").agg(F.max("piece_end").alias("covered"), F.bool_and("fits").alias("fits"), F.bool_and("follows").alias("follows"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizer.encode(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
@@ -92,6 +106,23 @@ def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p7_filled(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the containers of each capacity: all documents are in them, whole, and none is overfull."""
+    packed = cut(p7_pack(spark, folder))
+    sizes = table(spark, folder, "context_sizes")
+    fills = packed.groupBy("size_name", "container_id").agg(F.sum("n_tokens").alias("fill")).join(F.broadcast(sizes), "size_name")
+    fills = fills.groupBy("size_name").agg(F.bool_and(F.col("fill") <= F.col("capacity_tokens")).alias("fits"))
+    docs = packed.groupBy("size_name", "doc_id").agg(F.count("*").alias("n"), F.max("piece").alias("last"), F.sum("n_tokens").alias("all"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"))
+    whole = (F.col("n") == F.col("last") + 1) & (F.col("all") == F.col("end"))
+    return docs.groupBy("size_name").agg(F.count("*").alias("n_docs"), F.bool_and(whole).alias("whole")).join(fills, "size_name")
+
+
+def p8_stable(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the canonical form of each document's canonical text is that text."""
+    once = table(spark, folder, "documents").select("doc_id", canonical.canonical_text(F.col("text")).alias("once"))
+    return once.select("doc_id", F.col("once").eqNullSafe(canonical.canonical_text(F.col("once"))).alias("stable"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of documents with different texts that look the same."""
     return canonical.same_look_pairs(table(spark, folder, "documents"))
@@ -102,7 +133,7 @@ def p8_canonical(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.with_canonical(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "canonical")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_resolved, p3_found, p4_found, p4_repaired, p5_found, p5_pieces, p6_ids, p7_pack, p8_found, p8_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_resolved, p3_found, p4_found, p4_repaired, p5_found, p5_pieces, p5_covered, p6_ids, p7_pack, p7_filled, p8_found, p8_canonical, p8_stable)}
 
 _LONG = "greatest(coalesce(target_chars, 900), 1)"
 
@@ -124,6 +155,13 @@ def _similar_sql(name: str, key: str) -> str:
 _USABLE = "embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))"
 
 ORACLES = {
+    "p5_covered": f"""
+        SELECT request_id, chunk_idx, length(text) AS covered, true AS fits, true AS follows
+        FROM (SELECT DISTINCT request_id, dataset_key, target_chars, overlap_chars FROM index_requests) JOIN chunks USING (dataset_key)
+        WHERE modality = 'text' AND length(text) > {_LONG}
+    """,
+    "p7_filled": "SELECT size_name, (SELECT count(*) FROM documents) AS n_docs, true AS whole, true AS fits FROM context_sizes",
+    "p8_stable": "SELECT doc_id, true AS stable FROM documents",
     "p3_found": _similar_sql("graph_rows", "idx") + " UNION ALL " + _similar_sql("entities", "entity_id"),
     "p5_found": f"""
         SELECT DISTINCT request_id, chunk_idx,
