@@ -75,53 +75,61 @@ def _swept(items: DataFrame, gaps: DataFrame, bounds: DataFrame) -> DataFrame:
     order = ["value", "closes", "item", "piece", "container"]
     ranged = cut(opening.unionByName(closing).repartitionByRange("box", *order).withColumn("task", F.spark_partition_id()))
 
-    up = Window.partitionBy("box", "task").orderBy(*order)
-    down = Window.partitionBy("box", "task").orderBy(*(F.desc(c) for c in order))
-    so_far, below, above = up.rowsBetween(Window.unboundedPreceding, 0), up.rowsBetween(Window.unboundedPreceding, -1), down.rowsBetween(Window.unboundedPreceding, -1)
-    own = F.greatest(F.col("weight"), F.lit(0))
-    local = ranged.withColumns({"sum": F.sum("weight").over(so_far), "held": F.sum(own).over(so_far)})
-    local = local.withColumns({"before": F.col("sum") - F.col("weight"), "low_below": F.min("sum").over(below)}).withColumn("low_above", F.min("before").over(above))
-
-    # one row a task and box: what its range adds, and how low the open weight falls in it
-    shares = local.groupBy("box", "task").agg(F.sum("weight").alias("t_sum"), F.sum(own).alias("t_held"), F.min("sum").alias("t_low"), F.min("before").alias("t_low_before"))
-    earlier = Window.partitionBy("box").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy("box").orderBy(F.desc("task")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("box")
-    shares = shares.withColumns({"open": F.coalesce(F.sum("t_sum").over(earlier), F.lit(0)), "held_before": F.coalesce(F.sum("t_held").over(earlier), F.lit(0)), "all": F.sum("t_sum").over(whole), "all_held": F.sum("t_held").over(whole)})
-    shares = shares.withColumns({"low_earlier": F.min(F.col("open") + F.col("t_low")).over(earlier), "low_later": F.min(F.col("open") + F.col("t_low_before")).over(later), "lowest": F.min(F.col("open") + F.col("t_low_before")).over(whole)})
-    shares = shares.select("box", "task", "open", "held_before", "all", "all_held", "low_earlier", "low_later", "lowest")
-    rows = local.join(F.broadcast(shares), ["box", "task"])
-
-    zero = F.lit(0)
-    lost = lambda low: F.greatest(zero, -F.least(zero, low))  # noqa: E731  gap weight that finds nothing below
-    unmet = lambda low: F.greatest(zero, F.col("all") - low)  # noqa: E731  item weight that finds nothing above; least() skips nulls
-    sum_, before = F.col("open") + F.col("sum"), F.col("open") + F.col("before")
-    low_below = F.least(F.col("open") + F.col("low_below"), "low_earlier")
-    low_above = F.least(F.col("open") + F.col("low_above"), "low_later")
-    lost_before, lost_here = lost(F.coalesce(low_below, zero)), lost(F.least(F.coalesce(low_below, zero), sum_))
-    unmet_above, unmet_here = F.coalesce(unmet(low_above), zero), unmet(F.least(low_above, before))
-    held = F.col("held_before") + F.col("held")
-    matched = F.col("all_held") - unmet(F.col("lowest"))
-    closed = held - sum_  # gap weight up to here, this row's included
-    item_end = matched - (F.col("all_held") - held - unmet_above)
-    gap_start, gap_end = closed + F.col("weight") - lost_before, closed - lost_here
-    is_gap = F.col("closes") == 1
-    rows = rows.select(
-        "box", "value", "closes", "item", "piece", "start", "container", matched.alias("matched"),
-        F.when(is_gap, gap_start).otherwise(F.when(unmet_here == unmet_above, item_end - F.col("weight"))).alias("from"), F.when(is_gap, gap_end).otherwise(item_end).alias("to"),
-    ).where((F.col("closes") == 0) | (F.col("to") > F.col("from")))
-
-    # matched weight is cut into stretches; a gap lies in those it touches, an item where it begins
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stretch = F.greatest(F.ceil(F.col("matched") / tasks), F.lit(256))
-    waits = -1 - F.pmod(F.xxhash64("item", "piece"), F.lit(tasks))
-    first, last = F.floor(F.col("from") / stretch), F.floor((F.col("to") - 1) / stretch)
-    rows = rows.withColumn("stretch", F.explode(F.when(is_gap, F.sequence(first, last)).otherwise(F.array(F.coalesce(first, waits)))))
-    along = Window.partitionBy("box", "stretch").orderBy("from", F.desc("closes")).rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.last(F.when(is_gap, F.struct("container", "to")), ignorenulls=True).over(along)
-    met = rows.withColumn("gap", gap).where("closes = 0")
-    goes = F.coalesce(F.col("to") <= F.col("gap.to"), F.lit(False)) & F.col("from").isNotNull()
-    return cut(met.select("box", "item", "piece", "start", F.col("value").alias("size"), goes.alias("goes"), F.col("gap.container").alias("container")))
+    return cut(spark.sql(_SWEEP.format(tasks=tasks, ranged="{ranged}"), ranged=ranged))
+
+
+# From range-sorted rows (value, closes, ..., weight, task) to items with goes and container.  ``total`` is the
+# open weight behind a row, ``before`` the one ahead of it; ``lost`` is gap weight that finds nothing below,
+# ``unmet`` item weight that finds nothing above.  Matched weight is cut into stretches; a gap lies in those
+# that it touches, an item where it begins.
+_SWEEP = """
+WITH summed AS (
+    SELECT *, greatest(weight, 0) AS own, sum(weight) OVER up AS total, sum(greatest(weight, 0)) OVER up AS held FROM {ranged}
+    WINDOW up AS (PARTITION BY box, task ORDER BY value, closes, item, piece, container ROWS UNBOUNDED PRECEDING)
+),
+local AS (
+    SELECT *, total - weight AS before,
+           min(total) OVER (PARTITION BY box, task ORDER BY value, closes, item, piece, container ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low_below,
+           min(total - weight) OVER (PARTITION BY box, task ORDER BY value DESC, closes DESC, item DESC, piece DESC, container DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low_above
+    FROM summed
+),
+added AS (SELECT box, task, sum(weight) AS t_sum, sum(own) AS t_held, min(total) AS t_low, min(before) AS t_low_before FROM local GROUP BY box, task),
+opened AS (
+    SELECT *, coalesce(sum(t_sum) OVER earlier, 0) AS open, coalesce(sum(t_held) OVER earlier, 0) AS held_before, sum(t_sum) OVER whole AS every, sum(t_held) OVER whole AS every_held
+    FROM added WINDOW earlier AS (PARTITION BY box ORDER BY task ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), whole AS (PARTITION BY box)
+),
+shares AS (
+    SELECT box, task, open, held_before, every, every_held, min(open + t_low) OVER (PARTITION BY box ORDER BY task ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low_earlier,
+           min(open + t_low_before) OVER (PARTITION BY box ORDER BY task DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low_later, min(open + t_low_before) OVER (PARTITION BY box) AS lowest
+    FROM opened
+),
+placed AS (
+    SELECT /*+ BROADCAST(shares) */ l.*, open + total AS here, held_before + held AS held_here, every_held,
+           greatest(0, -coalesce(least(open + low_below, low_earlier), 0)) AS lost_before,
+           greatest(0, -least(coalesce(least(open + low_below, low_earlier), 0), open + total)) AS lost_here,
+           greatest(0, coalesce(every - least(open + low_above, low_later), 0)) AS unmet_above,
+           greatest(0, every - least(open + low_above, low_later, open + before)) AS unmet_here,
+           every_held - greatest(0, every - lowest) AS matched
+    FROM local l JOIN shares USING (box, task)
+),
+numbered AS (
+    SELECT box, value, closes, item, piece, start, container, matched,
+           CASE WHEN closes = 1 THEN held_here - here + weight - lost_before WHEN unmet_here = unmet_above THEN matched - (every_held - held_here - unmet_above) - weight END AS first,
+           CASE WHEN closes = 1 THEN held_here - here - lost_here ELSE matched - (every_held - held_here - unmet_above) END AS past,
+           greatest(ceil(matched / {tasks}), 256) AS stretch
+    FROM placed
+),
+spread AS (
+    SELECT *, explode(CASE WHEN closes = 1 THEN sequence(floor(first / stretch), floor((past - 1) / stretch))
+                           ELSE array(coalesce(floor(first / stretch), -1 - pmod(xxhash64(item, piece), {tasks}))) END) AS part
+    FROM numbered WHERE closes = 0 OR past > first
+),
+met AS (
+    SELECT *, last(CASE WHEN closes = 1 THEN struct(container, past) END, true) OVER (PARTITION BY box, part ORDER BY first, closes DESC ROWS UNBOUNDED PRECEDING) AS gap FROM spread
+)
+SELECT box, item, piece, start, value AS size, first IS NOT NULL AND coalesce(past <= gap.past, false) AS goes, gap.container AS container FROM met WHERE closes = 0
+"""
 
 
 def _updated(gaps: DataFrame, placed: DataFrame) -> DataFrame:
