@@ -60,11 +60,15 @@ def _children(text: str, start: int, end: int, level: int, headings: list[tuple[
     return [c for c in cuts if start < c < end]
 
 
-def _pack(text: str, start: int, end: int, level: int, limit: int, headings: list[tuple[int, int]], out: list[tuple[int, str]], cut: str) -> None:
-    """Appends (end, kind of boundary) of each piece of text[start:end]; ``cut`` is the boundary at the node's own end."""
-    while end - start > limit:
+def _pack(text: str, start: int, end: int, level: int, limits: tuple[int, int], headings: list[tuple[int, int]], out: list[tuple[int, str]], cut: str) -> None:
+    """Appends (end, kind of boundary) of each piece of text[start:end]; ``cut`` is the boundary at the node's own end.
+
+    ``limits`` are those of the first piece of a text and of the others.  What
+    an oversized child leaves at its end goes on with the siblings behind it.
+    """
+    while end - start > limits[bool(out)]:
         if level == len(LEVELS):
-            start += limit
+            start += limits[bool(out)]
             out.append((start, "hard"))
             continue
         cuts = _children(text, start, end, level, headings)
@@ -73,15 +77,17 @@ def _pack(text: str, start: int, end: int, level: int, limit: int, headings: lis
             continue
         kind, open_ = LEVELS[level], start
         for child_start, child_end in zip([start, *cuts], [*cuts, end], strict=True):
-            own = cut if child_end == end else kind
-            if child_end - child_start > limit:
-                if child_start > open_:
-                    out.append((child_start, kind))
-                _pack(text, child_start, child_end, level + 1, limit, headings, out, own)
-                open_ = child_end
-            elif child_end - open_ > limit:
+            if child_end - open_ <= limits[bool(out)]:
+                continue
+            if child_start > open_:
                 out.append((child_start, kind))
                 open_ = child_start
+            if child_end - child_start > limits[bool(out)]:
+                _pack(text, child_start, child_end, level + 1, limits, headings, out, cut if child_end == end else kind)
+                open_ = child_end
+                if child_end < end:
+                    out.pop()
+                    open_ = out[-1][0] if out else 0
         if open_ < end:
             out.append((end, cut))
         return
@@ -95,7 +101,7 @@ def pieces(text: str, target: int, overlap: int) -> tuple[list[tuple[int, int, s
     before the end of the one before it.
     """
     ends: list[tuple[int, str]] = []
-    _pack(text, 0, len(text), 0, target - overlap, _headings(text), ends, "end")
+    _pack(text, 0, len(text), 0, (target, target - overlap), _headings(text), ends, "end")
     starts = [0, *(end - overlap for end, _ in ends[:-1])]
     long_run = re.search(rf"\S{{{target + 1}}}", text) is not None
     return [(max(0, s), e, kind) for s, (e, kind) in zip(starts, ends, strict=True)], long_run
