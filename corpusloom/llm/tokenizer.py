@@ -44,7 +44,11 @@ class Vocabulary:
     """Merges of a byte-level BPE vocabulary as sorted arrays."""
 
     def __init__(self, path: str):
-        model = json.load(open(path, encoding="utf-8"))["model"]
+        with open(path, encoding="utf-8") as file:
+            whole = json.load(file)
+        words, model = whole.get("pre_tokenizer") or {}, whole["model"]
+        if whole.get("normalizer") or words.get("type") != "ByteLevel" or not words.get("use_regex", True) or words.get("add_prefix_space"):
+            raise ValueError(f"{path} cuts texts into other words than a plain byte-level vocabulary")
         ids = model["vocab"]
         self.byte_id = np.array([ids[c] for c in _byte_letters()], dtype=np.int64)
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -115,7 +119,8 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", name: str = "byt
 
     Null and empty texts both have the empty list.  Every row and all other
     columns stay; a column that already has the name ``out`` is replaced.
-    ``folder`` holds ``<name>.json`` on every executor.
+    ``folder`` holds ``<name>.json`` on every executor; a vocabulary that changes
+    texts first, or cuts them into words by a pattern of its own, is an error.
     """
     path = f"{folder}/{name}.json"
     base = df.drop(out)
