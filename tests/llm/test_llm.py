@@ -384,9 +384,21 @@ def test_split(spark):
     assert splitting.split_oversized(spark.createDataFrame([], REQUEST)).count() == 0
 
 
+def test_pieces_are_packed():
+    """The first piece may fill the target, and what an oversized part leaves goes on with what follows."""
+    text = "a" * 95 + ". " + "b" * 50 + ". " + "c" * 30 + ".\n\n" + "d" * 20 + ".\n\n" + "e" * 20 + "."
+    found, _ = splitting.pieces(text, 100, 20)
+    assert found == [(0, 97, "sentence"), (77, 149, "sentence"), (129, 226, "end")]
+
+
 # 6
 
 
+def test_tokenizer_refuses_other_words():
+    with pytest.raises(ValueError):
+        tokenizer.vocabulary(f"{tokenizer.FOLDER}/word_bpe_49k.json")
+
+
 def test_tokenizer(spark):
     import base64
 
