@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Unicode white space as Python's str.strip and str.split see it.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 BLANK = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
@@ -26,8 +27,8 @@ def squeeze(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased terms between white space, punctuation kept; null text has none."""
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), f"{BLANK}+")
-    return F.filter(parts, lambda t: t != "")
+    spaced = F.translate(F.lower(F.coalesce(text, F.lit(""))), BLANKS, " " * len(BLANKS))  # one pass, where a pattern would be tried at each place
+    return F.filter(F.split(spaced, " "), lambda t: t != "")
 
 
 def title_case(text: Column) -> Column:
