@@ -182,7 +182,7 @@ def fit_forest(heads: DataFrame, dim: int, total: int, trees: int = TREES, visit
     none is left, or none that can be split or that FOREST_BYTES has room for.
     """
     some = _drawn(heads, F.lit(min(1.0, SAMPLE / total))).select("vec").limit(SAMPLE + SAMPLE // 10).collect()  # the documented sample
-    sample = _matrix([r["vec"] for r in some], dim)
+    sample = _matrix(sorted(r["vec"] for r in some), dim)
     forest = Forest(dim)
     for t in range(trees):
         forest.plant(grow(sample, total / max(1, len(sample)), np.random.default_rng([seed, t]), LEAF, LEAF_SAMPLE))
