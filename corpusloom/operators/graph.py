@@ -142,26 +142,56 @@ def related(seeds: DataFrame, edges: DataFrame, entities: DataFrame, hops: int =
     return first.select("canonical_form", "entity_type", "importance_score", F.col("first.seed").alias("seed"), F.col("first.rank").alias("rank"))
 
 
+def _grown(level: DataFrame, step: DataFrame, seen: DataFrame, forward: bool) -> DataFrame:
+    """The vertices one step beyond ``level`` (pair, at, path) that weren't ``seen``, each with the first of its ways."""
+    path = F.array_append("path", F.col("next")) if forward else F.array_prepend("path", F.col("next"))
+    on = level.join(step, "at").select("pair", F.col("next").alias("at"), path.alias("path"))
+    return cut(on.groupBy("pair", "at").agg(F.min("path").alias("path")).join(seen, ["pair", "at"], "left_anti"))
+
+
+def _joined(heads: DataFrame, tails: DataFrame, steps: list[DataFrame], degrees: list[DataFrame]) -> DataFrame:
+    """(pair, path): the first way of each pair over one edge between its ``heads`` and its ``tails`` (pair, at, path).
+
+    Whatever costs a pair least is done: to look up each head with each tail, or
+    to follow the edges of the heads or those of the tails.  So no pair costs more
+    than all edges, and a hub is expanded only where all else costs more.
+    """
+    sizes = [level.join(degree, "at").groupBy("pair").agg(F.count("*").alias(f"n{i}"), F.sum("degree").alias(f"d{i}")) for i, (level, degree) in enumerate(zip((heads, tails), degrees, strict=True))]
+    least = F.least(F.col("n0") * F.col("n1"), "d0", "d1")
+    how = F.when(F.col("n0") * F.col("n1") == least, 0).when(F.col("d0") == least, 1).otherwise(2)
+    how = cut(sizes[0].join(sizes[1], "pair").select("pair", how.alias("how")))
+    head, tail = (lambda way: heads.join(how.where(F.col("how") == way), "pair").select("pair", F.col("at").alias("head"))), (lambda way: tails.join(how.where(F.col("how") == way), "pair").select("pair", F.col("at").alias("tail")))
+    edge, back = steps[0].select(F.col("at").alias("head"), F.col("next").alias("tail")), steps[1].select(F.col("at").alias("tail"), F.col("next").alias("head"))
+    met = head(0).join(tail(0), "pair").join(edge, ["head", "tail"], "left_semi")
+    met = met.unionByName(head(1).join(edge, "head").join(tail(1), ["pair", "tail"], "left_semi"))
+    met = met.unionByName(tail(2).join(back, "tail").join(head(2), ["pair", "head"], "left_semi"))
+    ways = met.join(heads.select("pair", F.col("at").alias("head"), F.col("path").alias("there")), ["pair", "head"]).join(tails.select("pair", F.col("at").alias("tail"), "path"), ["pair", "tail"])
+    return cut(ways.groupBy("pair").agg(F.min(F.concat("there", "path")).alias("path")))
+
+
 def shortest_paths(pairs: DataFrame, edges: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(pair, distance, path): one shortest undirected way for each of (pair, from_*, to_*) within ``depth``.
 
     Of equally short ways the first in the order of names is taken.  The search
-    goes breadth first from all starts together; a vertex that was reached
-    keeps its first way only, and starts that arrived stop.
+    goes from both ends of all pairs together, by turns, and an edge joins what
+    they have reached: up to three edges need one step from either end only.  A
+    vertex that was reached keeps its first way only, and pairs that met stop.
     """
     vertex = lambda form, kind: F.struct(F.col(form).alias("form"), F.col(kind).alias("kind"))
-    step = edges.select(vertex("from_form", "from_type").alias("at"), vertex("to_form", "to_type").alias("next")).distinct()
-    goal = pairs.select("pair", vertex("to_form", "to_type").alias("goal"))
-    front = pairs.select("pair", vertex("from_form", "from_type").alias("at")).withColumn("path", F.array("at"))
-    seen, arrived = front.select("pair", "at"), None
-    for hop in range(1, depth + 1):
-        grown = front.join(step, "at").select("pair", F.col("next").alias("at"), F.array_append("path", F.col("next")).alias("path"))
-        # a hop is computed once, for its hits, the next one and what was seen
-        front = cut(grown.groupBy("pair", "at").agg(F.min("path").alias("path")).join(seen, ["pair", "at"], "left_anti"))
-        hit = front.join(goal, "pair").where(F.col("at") == F.col("goal")).select("pair", F.lit(hop).alias("distance"), "path")
+    step = cut(edges.select(vertex("from_form", "from_type").alias("at"), vertex("to_form", "to_type").alias("next")).where("at <> next").distinct())
+    steps = [step, step.select(F.col("next").alias("at"), F.col("at").alias("next"))]
+    degrees = [cut(s.groupBy("at").agg(F.count("*").alias("degree"))) for s in steps]
+    ends = cut(pairs.select("pair", vertex("from_form", "from_type").alias("start"), vertex("to_form", "to_type").alias("goal")).where("start <> goal"))
+    levels = [ends.select("pair", F.col(end).alias("at"), F.array(end).alias("path")) for end in ("start", "goal")]
+    seen, arrived = [level.select("pair", "at") for level in levels], None
+    for length in range(1, depth + 1):
+        if arrived is not None:
+            levels = [level.join(arrived.select("pair"), "pair", "left_anti") for level in levels]
+            side = length % 2
+            levels[side] = _grown(levels[side], steps[side], seen[side], forward=not side)
+            seen[side] = seen[side].unionByName(levels[side].select("pair", "at"))
+        hit = _joined(*levels, steps, degrees).select("pair", F.lit(length).alias("distance"), "path")
         arrived = hit if arrived is None else arrived.unionByName(hit)
-        front = front.join(hit.select("pair"), "pair", "left_anti")
-        seen = seen.unionByName(front.select("pair", "at"))
     return arrived.select("pair", "distance", F.array_join(F.transform("path", lambda v: v["form"]), " > ").alias("path"))
 
 
