@@ -37,16 +37,16 @@ LEADER_PART, LEADER_LEAST = 0.15, 2
 BATCH, BATCH_CHARACTERS = 1500, 8_000_000
 #: Share of a line that frequent pieces cover if it may be furniture; characters of a short line, of which one such piece is enough.
 COVERED, SHORT = 0.3, 40
-#: Characters of the rolling window; one place in MEAN is a cut.
+#: Characters of the rolling window; one place in MEAN, a power of 2, is a cut.
 WINDOW, MEAN = 4, 8
 #: Characters that a line may vary in whatever its length; more if its fixed words are as many.
 VARYING = 40
 #: Lines in the order of names that a line is held against for what both share.
 BESIDE = 40
 #: Documents that are cut into pieces at a time, so that the arrays stay near the processor.
-AT_ONCE = 500
-#: Characters that are looked at together, however long lines are.
-CHARACTERS = 1_000_000
+AT_ONCE = 100
+#: Characters that are looked at together, however long lines are; few, for the same reason.
+CHARACTERS = 200_000
 
 LINE, DOCUMENT = "\n", "\x1e"
 ALL = np.iinfo(np.int64).min
@@ -71,7 +71,6 @@ _COUNT = re.compile(rf"([^a-z0-9_])(?:{_words(_COUNTS, '')})\b")
 _TAG = re.compile(r"</?[a-z][^<>\n]{0,80}>")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#x[0-9a-f]{1,6}|[a-z]\w{1,30});")
 _BLANKS = re.compile(r"  +")
-_MARKS = "".join(c for c in map(chr, range(0x2200)) if not c.isalnum())
 _SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in "\n "]
 # Words that mark a line as naming its author, who is then no variable part, where
 # they stand next to the name: before it (but for a shared first name), or in the role behind it.
@@ -116,9 +115,6 @@ def _even(short: str) -> str:
 
 def _trimmed(line: str) -> str:
     """``line`` without anything but letters and figures at its ends."""
-    line = line.strip(_MARKS)
-    if not line or line[0].isalnum() and line[-1].isalnum():
-        return line
     start, end = 0, len(line)
     while start < end and not line[start].isalnum():
         start += 1
@@ -156,7 +152,7 @@ def pieces(joined: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
         rolling[back:] += np.where(column[back:] >= back, mixed[:-back], _U(0)) * _WINDOW_KEYS[back]
     rolling ^= rolling >> _U(32)
     rolling *= _U(_MIX)
-    is_end = ((rolling >> _U(40)) % _U(MEAN)) == 0
+    is_end = ((rolling >> _U(40)) & _U(MEAN - 1)) == 0
     is_end[:-1] |= stop[1:]
     end = np.flatnonzero(is_end & ~stop)
     start = np.maximum(np.append(0, end[:-1] + 1)[: len(end)], last_stop[end] + 1)
@@ -215,6 +211,7 @@ def _suspicious(rows: pd.DataFrame, frequent: np.ndarray) -> pd.DataFrame:
 
 
 def _suspicious_of(rows: pd.DataFrame, frequent: np.ndarray) -> pd.DataFrame:
+    rows = rows if len(frequent) else rows.iloc[:0]  # without frequent pieces no line is covered
     texts = plain(rows["text"].tolist())
     filled = [[(i, line) for i, line in enumerate(own) if line] for own in texts]
     lines = [line for own in filled for _, line in own]
